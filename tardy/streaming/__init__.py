@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analysed study is batch only: it has no event-time windows, watermarks,
+state or late data. Nothing is built here on purpose; every plan in
+``tardy.plans`` is a plain DataFrame transformation and can be applied to a
+micro-batch through ``foreachBatch`` if a caller needs it.
+"""
