@@ -102,3 +102,153 @@ WHERE course_id IS NOT NULL AND course_name IS NOT NULL AND user_id IS NOT NULL
   AND procrastination_var_rank IS NOT NULL AND procrastination_std_rank IS NOT NULL
   AND final_score_ranks IS NOT NULL AND final_score_percentile_ranks IS NOT NULL
 """, STUDENT_DOUBLES)
+
+# ---- exploratory statistics -----------------------------------------------------
+MAIN_ETH = "('White', 'Asian', 'Black', 'Hispanic')"
+Y = "procrastination_mean_rank"
+GSTAT = ("center", "mean", "std", "se")
+
+cte_grade = """
+SELECT course_id, avg(final_score_percentile_ranks) AS fs_pct_mean,
+       median(final_score_percentile_ranks) AS fs_pct_median,
+       stddev_samp(final_score_percentile_ranks) AS fs_pct_std
+FROM c_student GROUP BY course_id
+"""
+sql("course_grade_stats", cte_grade, ("fs_pct_mean", "fs_pct_median", "fs_pct_std"))
+
+
+def _group_sql(dim: str, where: str = "") -> str:
+    return f"""
+SELECT '{dim}' AS dimension, CAST({dim} AS VARCHAR) AS level, count(*) AS n, median({Y}) AS center,
+       avg({Y}) AS mean, stddev_samp({Y}) AS std, stddev_samp({Y}) / sqrt(count(*)) AS se
+FROM c_student WHERE {dim} IS NOT NULL {where} GROUP BY {dim}
+"""
+
+
+sql("group_se_gender", _group_sql("gender"), GSTAT)
+sql("group_se_first_gen", _group_sql("first_gen_status"), GSTAT)
+sql("group_se_ethnicity", _group_sql("ethnicity"), GSTAT)
+sql("se_plot_data", _group_sql("gender") + " UNION ALL " + _group_sql("first_gen_status")
+    + " UNION ALL " + _group_sql("ethnicity", f"AND ethnicity IN {MAIN_ETH}"), GSTAT)
+sql("main_ethnicity_filter", f"""
+SELECT count(*) AS rows_total, count(*) FILTER (WHERE ethnicity IN {MAIN_ETH}) AS rows_kept,
+       count(*) FILTER (WHERE ethnicity IS NULL OR ethnicity NOT IN {MAIN_ETH}) AS rows_removed
+FROM c_student
+""")
+user_mean_sql = """
+SELECT user_id, avg(assignment_percentile_ranks) AS mean_pct_rank FROM c_ranked
+WHERE user_id IS NOT NULL GROUP BY user_id
+"""
+sql("user_mean_rank", user_mean_sql, ("mean_pct_rank",))
+bands_sql = f"""
+SELECT band, count(*) AS n_users, arg_min(user_id, md5('1:' || CAST(user_id AS VARCHAR))) AS user_id,
+       arg_min(mean_pct_rank, md5('1:' || CAST(user_id AS VARCHAR))) AS mean_pct_rank
+FROM (SELECT *, CASE WHEN mean_pct_rank < 0.25 THEN 'low'
+                     WHEN mean_pct_rank > 0.4 AND mean_pct_rank < 0.6 THEN 'mid'
+                     WHEN mean_pct_rank > 0.75 THEN 'high' END AS band
+      FROM ({user_mean_sql}) u) b
+WHERE band IS NOT NULL GROUP BY band
+"""
+sql("student_bands", bands_sql, ("mean_pct_rank",))
+sql("student_time_series", f"""
+SELECT band, user_id, seq, 'A' || CAST(seq AS VARCHAR) AS label, due_date, submitted_at, assignment_id,
+       course_id, assignment_percentile_ranks
+FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY band, user_id ORDER BY due_date NULLS LAST) - 1 AS INTEGER) AS seq
+  FROM (
+    SELECT * FROM (
+      SELECT p.band, r.user_id, r.due_date, r.submitted_at, r.assignment_id, r.assignment_percentile_ranks,
+             r.course_id,
+             row_number() OVER (PARTITION BY p.band, r.user_id, r.due_date
+                                ORDER BY r.submitted_at NULLS FIRST, r.assignment_id NULLS FIRST,
+                                         r.assignment_percentile_ranks NULLS FIRST, r.course_id NULLS FIRST) AS rn
+      FROM c_ranked r JOIN (SELECT band, user_id FROM ({bands_sql}) bb) p ON r.user_id = p.user_id) x
+    WHERE rn = 1) f) s
+""", ("assignment_percentile_ranks",))
+sql("course_counts_check", """
+SELECT count(*) AS n_courses, count(*) FILTER (WHERE n_students < 20) AS n_under_20_students,
+       count(*) FILTER (WHERE n_assignments < 5) AS n_under_5_assignments
+FROM (SELECT course_id, count(DISTINCT assignment_id) AS n_assignments, count(DISTINCT user_id) AS n_students
+      FROM c_s4 WHERE course_id IS NOT NULL GROUP BY course_id) c
+""")
+
+SCORED = """(SELECT r.*, s.procrastination_mean_rank FROM c_ranked r
+  LEFT JOIN c_scores s ON r.user_id = s.user_id AND r.course_id = s.course_id)"""
+
+
+def _kde_sql(keys: list[str], rows_sql: str) -> str:
+    k = ", ".join(keys)
+    on = " AND ".join(f"r.{c} = g.{c}" for c in keys)
+    gk = ", ".join(f"g.{c}" for c in keys)
+    return f"""
+SELECT {gk}, g.grid_i, g.x,
+       sum(exp(-0.5 * pow((g.x - r.v) / g.bw, 2))) / (g.n * g.bw * sqrt(2 * pi())) AS density
+FROM (
+  SELECT st.*, CAST(i AS INTEGER) AS grid_i,
+         CASE WHEN i = 199 THEN hi ELSE i * ((hi - lo) / 199.0) + lo END AS x
+  FROM (
+    SELECT *, greatest(mn - bw * 3.0, 0.0) AS lo, least(mx + bw * 3.0, 1.0) AS hi
+    FROM (SELECT {k}, count(v) AS n, stddev_samp(v) AS sd, min(v) AS mn, max(v) AS mx,
+                 stddev_samp(v) * pow(CAST(count(v) AS DOUBLE), -0.2) AS bw
+          FROM ({rows_sql}) rr WHERE v IS NOT NULL GROUP BY {k}
+          HAVING count(v) >= 2 AND stddev_samp(v) > 0) s0) st, range(200) t(i)) g
+JOIN ({rows_sql}) r ON {on}
+WHERE r.v IS NOT NULL
+GROUP BY {gk}, g.grid_i, g.x, g.n, g.bw
+"""
+
+
+def _kde_dim(dim: str, levels: str) -> str:
+    rows = f"SELECT {dim} AS level, {Y} AS v FROM {SCORED} sc WHERE {dim} IN {levels}"
+    return f"SELECT '{dim}' AS dimension, * FROM ({_kde_sql(['level'], rows)}) kk"
+
+
+sql("kde_by_gender", _kde_dim("gender", "('M', 'F')"), ("x", "density"))
+sql("kde_by_first_gen", _kde_dim("first_gen_status", "('Y', 'N')"), ("x", "density"))
+sql("kde_by_ethnicity", _kde_dim("ethnicity", MAIN_ETH), ("x", "density"))
+_matrix_rows = f"""
+SELECT course_id, course_name, 'gender' AS dimension, gender AS level, {Y} AS v FROM {SCORED} a WHERE gender IN ('M', 'F')
+UNION ALL
+SELECT course_id, course_name, 'first_gen_status', first_gen_status, {Y} FROM {SCORED} b WHERE first_gen_status IN ('Y', 'N')
+UNION ALL
+SELECT course_id, course_name, 'ethnicity', ethnicity, {Y} FROM {SCORED} c WHERE ethnicity IN {MAIN_ETH}
+"""
+sql("course_density_matrix", _kde_sql(["course_id", "course_name", "dimension", "level"], _matrix_rows), ("x", "density"))
+sql("course_grade_box", f"""
+WITH g AS ({cte_grade}),
+long AS (SELECT * FROM (SELECT 'mean' AS stat, fs_pct_mean AS v FROM g UNION ALL
+                        SELECT 'median', fs_pct_median FROM g UNION ALL
+                        SELECT 'std', fs_pct_std FROM g) u WHERE v IS NOT NULL),
+q AS (SELECT stat, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+             quantile_cont(v, 0.75) AS q3 FROM long GROUP BY stat)
+SELECT l.stat, q.q1, q.median, q.q3, count(*) AS n,
+       min(v) FILTER (WHERE v >= q.q1 - (q.q3 - q.q1) * 1.5) AS whisker_low,
+       max(v) FILTER (WHERE v <= q.q3 + (q.q3 - q.q1) * 1.5) AS whisker_high,
+       count(*) FILTER (WHERE v < q.q1 - (q.q3 - q.q1) * 1.5 OR v > q.q3 + (q.q3 - q.q1) * 1.5) AS n_outliers
+FROM long l JOIN q ON l.stat = q.stat GROUP BY l.stat, q.q1, q.median, q.q3
+""", ("q1", "median", "q3", "whisker_low", "whisker_high"))
+sql("course_grade_hist", f"""
+WITH g AS (SELECT fs_pct_mean AS v FROM ({cte_grade}) gg WHERE fs_pct_mean IS NOT NULL),
+s AS (SELECT count(v) AS n, min(v) AS mn, max(v) AS mx, quantile_cont(v, 0.25) AS q25,
+             quantile_cont(v, 0.75) AS q75 FROM g),
+w AS (SELECT *, (mx - mn) / (log2(CAST(n AS DOUBLE)) + 1.0) AS sturges,
+             2.0 * (q75 - q25) * pow(CAST(n AS DOUBLE), -1.0 / 3.0) AS fd FROM s),
+e AS (SELECT *, CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END AS wd,
+             CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS f,
+             CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS l FROM w),
+nb AS (SELECT *, CAST(CASE WHEN wd > 0 THEN ceil((l - f) / wd) ELSE 1 END AS INTEGER) AS nbins FROM e),
+st AS (SELECT *, (l - f) / nbins AS step FROM nb),
+i0 AS (SELECT g.v, st.*, least(CAST(floor((g.v - st.f) * st.nbins / (st.l - st.f)) AS INTEGER), st.nbins - 1) AS i0
+       FROM g, st),
+ix AS (SELECT *, CASE WHEN v < (CASE WHEN i0 = nbins THEN l ELSE i0 * step + f END) THEN i0 - 1
+                      WHEN v >= (CASE WHEN i0 + 1 = nbins THEN l ELSE (i0 + 1) * step + f END) AND i0 != nbins - 1
+                        THEN i0 + 1
+                      ELSE i0 END AS bin FROM i0),
+cnt AS (SELECT bin, count(*) AS c FROM ix GROUP BY bin),
+bins AS (SELECT CAST(b AS INTEGER) AS bin, st.* FROM st, range(st.nbins) t(b))
+SELECT bins.bin,
+       CASE WHEN bins.bin = nbins THEN l ELSE bins.bin * step + f END AS bin_lo,
+       CASE WHEN bins.bin + 1 = nbins THEN l ELSE (bins.bin + 1) * step + f END AS bin_hi,
+       coalesce(cnt.c, 0) AS count
+FROM bins LEFT JOIN cnt ON bins.bin = cnt.bin
+""", ("bin_lo", "bin_hi"))

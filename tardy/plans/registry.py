@@ -230,3 +230,92 @@ def q_final_score_ranks(spark, sf):
 def q_student_course_dropna(spark, sf):
     """The student table with rows holding any null removed (opt-in)."""
     return student(spark, sf).dropna()
+
+
+# ---- exploratory statistics -----------------------------------------------------
+from . import explore as X  # noqa: E402
+
+
+def scored(spark, sf):
+    """Submission-level rows with the per-student scores joined back."""
+    return S.with_scores(ranked(spark, sf))
+
+
+@query("course_grade_stats")
+def q_course_grade_stats(spark, sf):
+    return X.course_grade_stats(student(spark, sf))
+
+
+@query("group_se_gender")
+def q_group_se_gender(spark, sf):
+    return X.group_stats(student(spark, sf), dims=("gender",))
+
+
+@query("group_se_first_gen")
+def q_group_se_first_gen(spark, sf):
+    return X.group_stats(student(spark, sf), dims=("first_gen_status",))
+
+
+@query("group_se_ethnicity")
+def q_group_se_ethnicity(spark, sf):
+    return X.group_stats(student(spark, sf), dims=("ethnicity",))
+
+
+@query("se_plot_data")
+def q_se_plot_data(spark, sf):
+    return X.group_stats(student(spark, sf), main_ethnicity_only=True)
+
+
+@query("main_ethnicity_filter")
+def q_main_ethnicity_filter(spark, sf):
+    return X.main_ethnicity_filter(student(spark, sf))
+
+
+@query("user_mean_rank")
+def q_user_mean_rank(spark, sf):
+    return X.user_mean_rank(ranked(spark, sf))
+
+
+@query("student_bands")
+def q_student_bands(spark, sf):
+    return X.student_bands(ranked(spark, sf))
+
+
+@query("student_time_series")
+def q_student_time_series(spark, sf):
+    return X.student_time_series(ranked(spark, sf))
+
+
+@query("course_counts_check")
+def q_course_counts_check(spark, sf):
+    return X.course_counts_check(cleaned(spark, sf))
+
+
+@query("kde_by_gender")
+def q_kde_by_gender(spark, sf):
+    return X.kde_by(scored(spark, sf), "gender")
+
+
+@query("kde_by_first_gen")
+def q_kde_by_first_gen(spark, sf):
+    return X.kde_by(scored(spark, sf), "first_gen_status")
+
+
+@query("kde_by_ethnicity")
+def q_kde_by_ethnicity(spark, sf):
+    return X.kde_by(scored(spark, sf), "ethnicity")
+
+
+@query("course_density_matrix")
+def q_course_density_matrix(spark, sf):
+    return X.course_density_matrix(scored(spark, sf))
+
+
+@query("course_grade_box")
+def q_course_grade_box(spark, sf):
+    return X.course_grade_box(student(spark, sf))
+
+
+@query("course_grade_hist")
+def q_course_grade_hist(spark, sf):
+    return X.course_grade_hist(student(spark, sf))
