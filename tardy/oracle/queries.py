@@ -252,3 +252,90 @@ SELECT bins.bin,
        coalesce(cnt.c, 0) AS count
 FROM bins LEFT JOIN cnt ON bins.bin = cnt.bin
 """, ("bin_lo", "bin_hi"))
+
+# ---- regression ---------------------------------------------------------------------
+sql("ols_suffstats", f"""
+SELECT course_id, CAST(gender AS VARCHAR) AS gender, CAST(is_a_urm AS VARCHAR) AS is_a_urm,
+       CAST(first_gen_status AS VARCHAR) AS first_gen_status, CAST(ethnicity AS VARCHAR) AS ethnicity,
+       count(*) AS n, sum({Y}) AS sy, sum({Y} * {Y}) AS syy
+FROM c_student
+WHERE {Y} IS NOT NULL AND course_id IS NOT NULL AND gender IS NOT NULL AND is_a_urm IS NOT NULL
+  AND first_gen_status IS NOT NULL AND ethnicity IS NOT NULL
+GROUP BY ALL
+""", ("sy", "syy"))
+_levels = f"""
+SELECT factor_pos, factor, level FROM (
+  SELECT DISTINCT 0 AS factor_pos, 'gender' AS factor, CAST(gender AS VARCHAR) AS level FROM c_student s WHERE {{c}}
+  UNION ALL SELECT DISTINCT 1, 'is_a_urm', CAST(is_a_urm AS VARCHAR) FROM c_student s WHERE {{c}}
+  UNION ALL SELECT DISTINCT 2, 'first_gen_status', CAST(first_gen_status AS VARCHAR) FROM c_student s WHERE {{c}}
+  UNION ALL SELECT DISTINCT 3, 'ethnicity', CAST(ethnicity AS VARCHAR) FROM c_student s WHERE {{c}}) u
+""".replace("{c}", f"""{Y} IS NOT NULL AND course_id IS NOT NULL AND gender IS NOT NULL AND is_a_urm IS NOT NULL
+  AND first_gen_status IS NOT NULL AND ethnicity IS NOT NULL""")
+sql("design_levels", f"""
+SELECT factor, level, level_no, level_no = 0 AS is_reference,
+       CASE WHEN level_no > 0 THEN 'C(' || factor || ')[T.' || level || ']' END AS term,
+       CASE WHEN level_no > 0 THEN CAST(row_number() OVER (PARTITION BY level_no > 0 ORDER BY factor_pos, level_no) AS INTEGER) END AS term_idx
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY factor ORDER BY level) - 1 AS INTEGER) AS level_no FROM ({_levels}) l) x
+""")
+
+# the grid: 3 x 3 threshold pairs share one plan; (a_n, s_n) act on course counts
+from .ctes import cte  # noqa: E402
+
+cte("g_ga", "SELECT * FROM (VALUES (0.25), (0.5), (0.75)) t(a_thres)")
+cte("g_gs", "SELECT * FROM (VALUES (0.25), (0.5), (0.75)) t(s_thres)")
+cte("g_gn", "SELECT * FROM (VALUES (5), (15), (25)) t(a_n)")
+cte("g_gsn", "SELECT * FROM (VALUES (10), (20), (30), (40)) t(s_n)")
+cte("g_ratio", """SELECT assignment_id, count(DISTINCT user_id) / min(course_size) AS r FROM c_s1
+          WHERE assignment_id IS NOT NULL GROUP BY assignment_id""")
+cte("g_s2", """SELECT ga.a_thres, s.* FROM c_s1 s JOIN g_ratio ratio ON s.assignment_id = ratio.assignment_id
+       JOIN g_ga ga ON ratio.r > ga.a_thres""")
+cte("g_nas", "SELECT a_thres, course_id, count(DISTINCT assignment_id) AS n_assignments FROM g_s2 GROUP BY a_thres, course_id")
+cte("g_uc", """SELECT s2.a_thres, s2.user_id, s2.course_id, count(DISTINCT s2.assignment_id) AS na, max(nas.n_assignments) AS nc
+       FROM g_s2 s2 JOIN g_nas nas ON s2.a_thres = nas.a_thres AND s2.course_id = nas.course_id
+       WHERE s2.user_id IS NOT NULL GROUP BY s2.a_thres, s2.user_id, s2.course_id""")
+cte("g_keep3", "SELECT uc.a_thres, gs.s_thres, uc.user_id, uc.course_id FROM g_uc uc JOIN g_gs gs ON uc.na > floor(uc.nc * gs.s_thres)")
+cte("g_s3", """SELECT k.s_thres, s2.*, nas.n_assignments FROM g_s2 s2 JOIN g_keep3 k ON s2.a_thres = k.a_thres AND s2.user_id = k.user_id
+       AND s2.course_id = k.course_id JOIN g_nas nas ON s2.a_thres = nas.a_thres AND s2.course_id = nas.course_id""")
+cte("g_cc", """SELECT a_thres, s_thres, course_id, count(DISTINCT assignment_id) AS nau, count(DISTINCT user_id) AS nsu,
+              count(*) AS n_rows FROM g_s3 GROUP BY a_thres, s_thres, course_id""")
+cte("g_surv", "SELECT gn.a_n, gsn.s_n, cc.* FROM g_cc cc JOIN g_gn gn ON cc.nau > gn.a_n JOIN g_gsn gsn ON cc.nsu > gsn.s_n")
+sql("grid_survivors", """
+SELECT CAST(gn.a_n AS INTEGER) AS a_n, CAST(gsn.s_n AS INTEGER) AS s_n, CAST(ga.a_thres AS DOUBLE) AS a_thres,
+       CAST(gs.s_thres AS DOUBLE) AS s_thres,
+       (SELECT count(*) FROM c_s1) AS rows_course_filter,
+       coalesce((SELECT count(*) FROM g_s2 s2 WHERE s2.a_thres = ga.a_thres), 0) AS rows_assignment_filter,
+       coalesce((SELECT count(*) FROM g_s3 s3 WHERE s3.a_thres = ga.a_thres AND s3.s_thres = gs.s_thres), 0) AS rows_student_filter,
+       coalesce((SELECT sum(n_rows) FROM g_surv v WHERE v.a_n = gn.a_n AND v.s_n = gsn.s_n AND v.a_thres = ga.a_thres
+                 AND v.s_thres = gs.s_thres), 0)::BIGINT AS rows_final,
+       coalesce((SELECT count(*) FROM g_surv v WHERE v.a_n = gn.a_n AND v.s_n = gsn.s_n AND v.a_thres = ga.a_thres
+                 AND v.s_thres = gs.s_thres), 0)::BIGINT AS n_courses,
+       coalesce((SELECT sum(nsu) FROM g_surv v WHERE v.a_n = gn.a_n AND v.s_n = gsn.s_n AND v.a_thres = ga.a_thres
+                 AND v.s_thres = gs.s_thres), 0)::BIGINT AS n_student_courses
+FROM g_gn gn, g_gsn gsn, g_ga ga, g_gs gs
+""")
+cte("g_rk", """SELECT *, (rank() OVER (PARTITION BY a_thres, s_thres, assignment_id ORDER BY submitted_at NULLS LAST)
+                  + (count(*) OVER (PARTITION BY a_thres, s_thres, assignment_id, submitted_at) - 1) / 2.0::DOUBLE)
+                 / count(submitted_at) OVER (PARTITION BY a_thres, s_thres, assignment_id) AS pct
+       FROM g_s3""")
+cte("g_yy", """SELECT a_thres, s_thres, user_id, course_id, avg(CASE WHEN submitted_at IS NOT NULL THEN pct END) AS y
+       FROM g_rk WHERE user_id IS NOT NULL GROUP BY ALL""")
+cte("g_fr", """SELECT a_thres, s_thres, user_id, course_id, gender, is_a_urm, first_gen_status, ethnicity FROM (
+         SELECT *, row_number() OVER (PARTITION BY a_thres, s_thres, user_id, course_id
+           ORDER BY due_date IS NULL, due_date NULLS FIRST, submitted_at NULLS FIRST, assignment_id NULLS FIRST,
+             course_name NULLS FIRST, final_score NULLS FIRST, ethnicity NULLS FIRST, gender NULLS FIRST,
+             is_a_urm NULLS FIRST, first_gen_status NULLS FIRST, course_size NULLS FIRST, course_mean NULLS FIRST,
+             n_assignments NULLS FIRST) AS rn FROM g_rk) q WHERE rn = 1""")
+cte("g_sfs", """SELECT yy.a_thres, yy.s_thres, yy.course_id, CAST(fr.gender AS VARCHAR) AS gender,
+               CAST(fr.is_a_urm AS VARCHAR) AS is_a_urm, CAST(fr.first_gen_status AS VARCHAR) AS first_gen_status,
+               CAST(fr.ethnicity AS VARCHAR) AS ethnicity, count(*) AS n, sum(y) AS sy, sum(y * y) AS syy
+        FROM g_yy yy JOIN g_fr fr ON yy.a_thres = fr.a_thres AND yy.s_thres = fr.s_thres AND yy.user_id = fr.user_id
+          AND yy.course_id = fr.course_id
+        WHERE y IS NOT NULL AND fr.gender IS NOT NULL AND fr.is_a_urm IS NOT NULL AND fr.first_gen_status IS NOT NULL
+          AND fr.ethnicity IS NOT NULL
+        GROUP BY yy.a_thres, yy.s_thres, yy.course_id, fr.gender, fr.is_a_urm, fr.first_gen_status, fr.ethnicity""")
+sql("grid_suffstats", """
+SELECT CAST(v.a_n AS INTEGER) AS a_n, CAST(v.s_n AS INTEGER) AS s_n, CAST(v.a_thres AS DOUBLE) AS a_thres,
+       CAST(v.s_thres AS DOUBLE) AS s_thres, sfs.course_id, sfs.gender, sfs.is_a_urm, sfs.first_gen_status,
+       sfs.ethnicity, sfs.n, round(sfs.sy, 8) AS sy, round(sfs.syy, 8) AS syy
+FROM g_sfs sfs JOIN g_surv v ON sfs.a_thres = v.a_thres AND sfs.s_thres = v.s_thres AND sfs.course_id = v.course_id
+""")

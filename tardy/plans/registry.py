@@ -319,3 +319,87 @@ def q_course_grade_box(spark, sf):
 @query("course_grade_hist")
 def q_course_grade_hist(spark, sf):
     return X.course_grade_hist(student(spark, sf))
+
+
+# ---- regression --------------------------------------------------------------------
+from ..operators import ols as O  # noqa: E402
+from . import grid as G  # noqa: E402
+
+
+def default_fit(spark, sf):
+    return O.fit(student(spark, sf))
+
+
+def grid_fit(spark, sf):
+    s1 = materialize(C.course_filter(C.with_course_stats(analysis(spark, sf))), "course_filtered")
+    G.check_one_course_per_assignment(s1)
+    frames = G.grid_frames(s1)
+    return s1, frames
+
+
+@query("ols_suffstats")
+def q_ols_suffstats(spark, sf):
+    return O.suffstats(student(spark, sf))
+
+
+@query("design_levels")
+def q_design_levels(spark, sf):
+    return O.design_levels(O.suffstats(student(spark, sf)))
+
+
+@query("ols_coeffs")
+def q_ols_coeffs(spark, sf):
+    return default_fit(spark, sf)["terms"]
+
+
+@query("ols_cluster_cov")
+def q_ols_cluster_cov(spark, sf):
+    return default_fit(spark, sf)["cov"]
+
+
+@query("ols_pvalues")
+def q_ols_pvalues(spark, sf):
+    return default_fit(spark, sf)["terms"].select("term", F.round("p", 4).alias("p"))
+
+
+@query("ols_confint")
+def q_ols_confint(spark, sf):
+    return default_fit(spark, sf)["terms"].select("term", "ci_low", "ci_high")
+
+
+@query("ols_fit_stats")
+def q_ols_fit_stats(spark, sf):
+    return default_fit(spark, sf)["fit_stats"]
+
+
+@query("grid_survivors")
+def q_grid_survivors(spark, sf):
+    s1, frames = grid_fit(spark, sf)
+    return G.grid_survivors(s1, frames)
+
+
+@query("grid_suffstats")
+def q_grid_suffstats(spark, sf):
+    _, frames = grid_fit(spark, sf)
+    return G.grid_suffstats(frames)
+
+
+@query("grid_coeffs")
+def q_grid_coeffs(spark, sf):
+    _, frames = grid_fit(spark, sf)
+    return G.grid_fit(frames)["terms"]
+
+
+@query("grid_pvalues")
+def q_grid_pvalues(spark, sf):
+    """Wide table: one row per configuration, p-values (4 places) per term."""
+    _, frames = grid_fit(spark, sf)
+    t = G.grid_fit(frames)["terms"].withColumn("p", F.round("p", 4))
+    return G.wide(t, "p")
+
+
+@query("grid_confint")
+def q_grid_confint(spark, sf):
+    """Wide table of the lower 95 % bounds (the study's stored interval)."""
+    _, frames = grid_fit(spark, sf)
+    return G.wide(G.grid_fit(frames)["terms"], "ci_low")
