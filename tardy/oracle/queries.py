@@ -339,3 +339,8 @@ SELECT CAST(v.a_n AS INTEGER) AS a_n, CAST(v.s_n AS INTEGER) AS s_n, CAST(v.a_th
        sfs.ethnicity, sfs.n, round(sfs.sy, 8) AS sy, round(sfs.syy, 8) AS syy
 FROM g_sfs sfs JOIN g_surv v ON sfs.a_thres = v.a_thres AND sfs.s_thres = v.s_thres AND sfs.course_id = v.course_id
 """)
+
+sql("csv_scan", """
+SELECT course_id, course_name, assignment_id, due_date, submitted_at, user_id, gender, ethnicity, is_a_urm,
+       first_gen_status, final_score FROM w_submissions
+""", ("final_score",))

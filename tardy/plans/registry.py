@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import CleanConfig
-from ..sources.fixtures import build_warehouse
+from ..sources.fixtures import warehouse_tables
 from ..sources.tables import materialize
 from . import clean as C
 from . import scores as S
@@ -43,7 +43,7 @@ def query(name: str):
 
 # ---- shared lazy inputs -----------------------------------------------------
 def wh(spark, sf):
-    return build_warehouse(spark, sf)
+    return warehouse_tables(spark, sf)
 
 
 def subs(spark, sf):
@@ -403,3 +403,18 @@ def q_grid_confint(spark, sf):
     """Wide table of the lower 95 % bounds (the study's stored interval)."""
     _, frames = grid_fit(spark, sf)
     return G.wide(G.grid_fit(frames)["terms"], "ci_low")
+
+
+# ---- sources and sinks ---------------------------------------------------------------
+from ..sources import csv_io  # noqa: E402
+from ..sources.tables import scratch_path  # noqa: E402
+
+
+@query("csv_scan")
+def q_csv_scan(spark, sf):
+    """Round trip: the submission table exported as CSV, read back as the
+    11-column analysis extract (text -> typed, null tokens)."""
+    s = subs(spark, sf)
+    path = scratch_path(s, "submissions_csv")
+    csv_io.export_csv(s, path)
+    return csv_io.read_analysis_csv(spark, path)

@@ -102,9 +102,10 @@ def _demographics(uid: Column) -> list[Column]:
     ]
 
 
-def build_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """Derive the nine warehouse tables (lazy DataFrames)."""
-    g = submission_grain(spark, sf_dir)
+def build_warehouse(spark: SparkSession, sf_dir: str, grain: DataFrame | None = None) -> Warehouse:
+    """Derive the nine warehouse tables (lazy DataFrames). ``grain`` may pass
+    an already written :func:`submission_grain`."""
+    g = grain if grain is not None else submission_grain(spark, sf_dir)
     aid, cid, uid = F.col("assignment_id"), F.col("course_id"), F.col("user_id")
 
     user_dim = g.select(uid.alias("id")).distinct()
@@ -199,6 +200,30 @@ def build_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     )
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def warehouse_tables(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The derived warehouse, written once per session and data folder as
+    Parquet under the checkpoint folder (a stand-in for the LMS warehouse's
+    own tables), then read back by every query."""
+    from .tables import scratch_path
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    path = _WRITTEN.get(key)
+    if path is None:
+        from .tables import materialize
+
+        # the lineitem x orders join and its aggregate run once; all nine
+        # tables are derived from this written grain
+        grain = materialize(submission_grain(spark, sf_dir), "fixture_grain")
+        wh = build_warehouse(spark, sf_dir, grain)
+        path = scratch_path(wh.course_dim, "warehouse")
+        write_warehouse(wh, path)
+        _WRITTEN[key] = path
+    return read_warehouse(spark, path)
+
+
 def read_warehouse(spark: SparkSession, path: str) -> Warehouse:
     """Read a warehouse written by :func:`write_warehouse` (or exported from a real LMS)."""
     names = Warehouse.__dataclass_fields__.keys()
