@@ -63,6 +63,9 @@ SELECT course_id, count(DISTINCT user_id) AS n_students FROM c_s3 GROUP BY cours
 """)
 sql("clean_submissions", "SELECT * FROM c_s4", CLEAN_DOUBLES)
 sql("filter_audit", """
+SELECT *, lag(student_course_obs) OVER (ORDER BY stage_no) - student_course_obs AS excluded_student_course,
+       lag(course_obs) OVER (ORDER BY stage_no) - course_obs AS excluded_courses
+FROM (
 SELECT 0 AS stage_no, 'loaded' AS stage, count(*) AS rows,
        count(DISTINCT (course_id, user_id)) FILTER (WHERE course_id IS NOT NULL AND user_id IS NOT NULL) AS student_course_obs,
        count(DISTINCT course_id) AS course_obs FROM c_analysis
@@ -78,6 +81,7 @@ SELECT 3, 'student_filter', count(*), count(DISTINCT (course_id, user_id)) FILTE
 UNION ALL
 SELECT 4, 'invariants', count(*), count(DISTINCT (course_id, user_id)) FILTER (WHERE course_id IS NOT NULL AND user_id IS NOT NULL),
        count(DISTINCT course_id) FROM c_s4
+) a
 """)
 
 # ---- ranks and scores ------------------------------------------------------------
@@ -344,3 +348,11 @@ sql("csv_scan", """
 SELECT course_id, course_name, assignment_id, due_date, submitted_at, user_id, gender, ethnicity, is_a_urm,
        first_gen_status, final_score FROM w_submissions
 """, ("final_score",))
+
+sql("course_stats_join", "SELECT * FROM c_s0", CLEAN_DOUBLES)
+sql("course_invariants", """
+SELECT course_id, count(DISTINCT assignment_id) AS n_assignments_updated, count(DISTINCT user_id) AS n_students_updated,
+       count(DISTINCT user_id) > 20 AND count(DISTINCT assignment_id) > 5 AS kept
+FROM c_s3 WHERE course_id IS NOT NULL GROUP BY course_id
+""")
+sql("datetime_parse", "SELECT submission_id, submitted_at, due_date FROM w_submissions")

@@ -10,7 +10,7 @@ course invariants. Every comparison is strict ``>``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CleanConfig
@@ -84,13 +84,8 @@ def course_invariants(df: DataFrame, a_n: int, s_n: int) -> DataFrame:
     """Recount students and assignments per course after the filters and keep
     courses with more than ``s_n`` students and more than ``a_n`` assignments.
     Both counts are taken before either test, so one predicate does both."""
-    counts = df.where(F.col("course_id").isNotNull()).groupBy("course_id").agg(
-        F.countDistinct("assignment_id").alias("n_assignments_updated"),
-        F.countDistinct("user_id").alias("n_students_updated"),
-    )
-    return df.join(counts, "course_id", "inner").where(
-        (F.col("n_students_updated") > s_n) & (F.col("n_assignments_updated") > a_n)
-    )
+    counts = course_invariant_counts(df, a_n, s_n).where("kept").drop("kept")
+    return df.join(counts, "course_id", "inner")
 
 
 def clean(df: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
@@ -127,4 +122,22 @@ def filter_audit(df: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    # five rows: a global window is fine here
+    w = Window.orderBy("stage_no")
+    return out.select(
+        "*",
+        (F.lag("student_course_obs").over(w) - F.col("student_course_obs")).alias("excluded_student_course"),
+        (F.lag("course_obs").over(w) - F.col("course_obs")).alias("excluded_courses"),
+    )
+
+
+def course_invariant_counts(df: DataFrame, a_n: int, s_n: int) -> DataFrame:
+    """Per course after the student filter: the recounted students and
+    assignments and whether the course passes both invariants."""
+    counts = df.where(F.col("course_id").isNotNull()).groupBy("course_id").agg(
+        F.countDistinct("assignment_id").alias("n_assignments_updated"),
+        F.countDistinct("user_id").alias("n_students_updated"),
+    )
+    return counts.withColumn(
+        "kept", (F.col("n_students_updated") > s_n) & (F.col("n_assignments_updated") > a_n)
+    )

@@ -418,3 +418,32 @@ def q_csv_scan(spark, sf):
     path = scratch_path(s, "submissions_csv")
     csv_io.export_csv(s, path)
     return csv_io.read_analysis_csv(spark, path)
+
+
+# ---- further cleaning views -----------------------------------------------------------
+from ..functions.scalars import parse_timestamp  # noqa: E402
+
+
+@query("course_stats_join")
+def q_course_stats_join(spark, sf):
+    """Submission rows with their course size and mean joined back."""
+    return C.with_course_stats(analysis(spark, sf))
+
+
+@query("course_invariants")
+def q_course_invariants(spark, sf):
+    cfg = CleanConfig()
+    s2 = C.assignment_filter(C.course_filter(C.with_course_stats(analysis(spark, sf))), cfg.a_thres)
+    return C.course_invariant_counts(C.student_filter(s2, cfg.s_thres), cfg.a_n, cfg.s_n)
+
+
+@query("datetime_parse")
+def q_datetime_parse(spark, sf):
+    """Timestamps rendered as text (as in the CSV extract) and parsed back."""
+    s = subs(spark, sf)
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return s.select(
+        "submission_id",
+        parse_timestamp(F.date_format("submitted_at", fmt)).alias("submitted_at"),
+        parse_timestamp(F.date_format("due_date", fmt)).alias("due_date"),
+    )
