@@ -206,8 +206,9 @@ def fit(
     sfs = materialize(sfs, "ols_suffstats")
     if not keys:
         sfs = sfs.withColumn("_model", F.lit(0))
-    levels = design_levels(sfs, model_keys, factors)
-    act = with_active_terms(sfs, levels, model_keys, factors)
+    # tiny (models x levels) and read by several branches: written once
+    levels = materialize(design_levels(sfs, model_keys, factors), "ols_levels")
+    act = materialize(with_active_terms(sfs, levels, model_keys, factors), "ols_active")
 
     # 3. normal equations per model from pattern totals
     pat = act.groupBy(*model_keys, *factors).agg(
@@ -216,7 +217,7 @@ def fit(
     )
     kf = _key_fields(sfs, model_keys)
     solve_schema = T.StructType(kf + _SOLVE_COLS)
-    solved = pat.groupBy(*model_keys).applyInPandas(_solve_beta(model_keys), solve_schema)
+    solved = materialize(pat.groupBy(*model_keys).applyInPandas(_solve_beta(model_keys), solve_schema), "ols_solved")
 
     # 4. cluster scores and their outer products
     coefs = solved.where(F.col("kind") == "coef").groupBy(*model_keys).agg(

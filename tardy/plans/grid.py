@@ -134,9 +134,10 @@ def grid_suffstats(frames: dict[str, DataFrame], strategy: str | None = None) ->
     """Regression sufficient statistics per (config, course, pattern)."""
     ranked = S.add_assignment_ranks(frames["s3"], extra_keys=TS, strategy=strategy)
     keys = [*TS, "user_id", "course_id"]
-    y = ranked.groupBy(*keys).agg(F.avg(S.PCT).alias(RESPONSE))
-    demo = S.first_rows(ranked, extra_keys=TS).select(*keys, *COVARIATES)
-    student = y.join(demo, keys)
+    # mean percentile rank and first-row demographics in one aggregate
+    student = S.first_rows(ranked, extra_keys=TS, extra_aggs=[F.avg(S.PCT).alias(RESPONSE)]).select(
+        *keys, RESPONSE, *COVARIATES
+    )
     sfs = ols.suffstats(student, TS)
     surv = frames["survivors"].select(*CFG, "course_id")
     return sfs.join(surv, [*TS, "course_id"]).select(*CFG, "course_id", *COVARIATES, "n", "sy", "syy")

@@ -50,10 +50,11 @@ def with_scores(ranked: DataFrame, strategy: str | None = None) -> DataFrame:
     return ranked.join(procrastination_scores(ranked, strategy=strategy), ["user_id", "course_id"], "left")
 
 
-def first_rows(ranked: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
+def first_rows(ranked: DataFrame, extra_keys: Sequence[str] = (), extra_aggs: Sequence = ()) -> DataFrame:
     """One row per (user, course): the earliest due date (nulls last), then
     earliest submission, then lowest assignment id; remaining columns break
-    any further tie. A single aggregate, combined map-side."""
+    any further tie. A single aggregate, combined map-side; ``extra_aggs``
+    are computed in the same pass."""
     keys = [*extra_keys, "user_id", "course_id"]
     carried = [c for c in STUDENT_COURSE_COLS if c not in keys and c in ranked.columns]
     order = F.struct(
@@ -63,14 +64,26 @@ def first_rows(ranked: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
         F.col("assignment_id").alias("_a"),
         *[F.col(c).alias(f"_c_{c}") for c in carried],
     )
-    agg = ranked.groupBy(*keys).agg(F.min(order).alias("_first"))
-    return agg.select(*keys, *[F.col(f"_first._c_{c}").alias(c) for c in carried])
+    agg = ranked.groupBy(*keys).agg(F.min(order).alias("_first"), *extra_aggs)
+    extra = [c for c in agg.columns if c not in keys and c != "_first"]
+    return agg.select(*keys, *[F.col(f"_first._c_{c}").alias(c) for c in carried], *extra)
 
 
 def student_course_level(ranked: DataFrame, strategy: str | None = None) -> DataFrame:
     """The student-course table: first row per (user, course), the five scores,
-    and the average / percentile rank of final_score within the course."""
-    sc = first_rows(ranked).join(procrastination_scores(ranked, strategy=strategy), ["user_id", "course_id"], "left")
+    and the average / percentile rank of final_score within the course. The
+    first row and four of the scores come from one aggregate; the exact
+    median from the skew-safe positions."""
+    keys = ["user_id", "course_id"]
+    scores = [
+        F.avg("assignment_ranks").alias("mean_rank"),
+        F.avg(PCT).alias("procrastination_mean_rank"),
+        F.var_samp(PCT).alias("procrastination_var_rank"),
+        F.stddev_samp(PCT).alias("procrastination_std_rank"),
+    ]
+    base = first_rows(ranked.where(F.col("user_id").isNotNull() & F.col("course_id").isNotNull()), extra_aggs=scores)
+    med = group_median(ranked, keys, PCT, "procrastination_median_rank", strategy=strategy)
+    sc = base.join(med, keys, "left")
     return average_rank(
         sc, ["course_id"], "final_score", "final_score_ranks", "final_score_percentile_ranks", strategy=strategy
     )
