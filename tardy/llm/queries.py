@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_parts, chunk_dedup, host_quality, pii_bootstrap, url_cascade
+from . import chat_parts, chunk_dedup, host_quality, length_buckets, pii_bootstrap, url_cascade, zstd_langid
 
 #: op5: (verdict, host and path prefix).
 URL_RULES = (
@@ -24,6 +24,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_buckets.pack(_table(spark, sf_dir, "documents"))
+
+
+def op4_zstd_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    training = zstd_langid.is_training("doc_id", 5, 0)
+    dictionaries = zstd_langid.fit_dictionaries(docs.where(training))
+    return zstd_langid.predict(docs, dictionaries, [F.col("doc_id"), (~training).alias("held_out")])
+
+
 def op5_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -71,6 +82,8 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_length_buckets": op3_length_buckets,
+    "op4_zstd_langid": op4_zstd_langid,
     "op5_bloom_cascade": op5_bloom_cascade,
     "op7_chat_parts": op7_chat_parts,
     "op8_pii_bootstrap": op8_pii_bootstrap,
