@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_parts, chunk_dedup, host_quality, length_buckets, pii_bootstrap, url_cascade, zstd_langid
+from . import chat_parts, chunk_dedup, host_quality, length_buckets, pii_bootstrap, tree_bpe, url_cascade, zstd_langid
 
 #: op5: (verdict, host and path prefix).
 URL_RULES = (
@@ -24,6 +24,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_tree_bpe(spark: SparkSession, sf_dir: str, name: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+
+    coded = tree_bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(name), [F.col("doc_id")])
+    spelled = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(spelled, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_buckets.pack(_table(spark, sf_dir, "documents"))
 
@@ -82,6 +90,7 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_tree_bpe": op2_tree_bpe,
     "op3_length_buckets": op3_length_buckets,
     "op4_zstd_langid": op4_zstd_langid,
     "op5_bloom_cascade": op5_bloom_cascade,
