@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_parts, chunk_dedup, host_quality, length_buckets, pii_bootstrap, tree_bpe, url_cascade, zstd_langid
+from . import chat_parts, chunk_dedup, host_quality, lattice_lm, length_buckets, pii_bootstrap, tree_bpe, url_cascade, zstd_langid
 
 #: op5: (verdict, host and path prefix).
 URL_RULES = (
@@ -24,6 +24,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str, name: str = "piece_bpe_32k.model") -> DataFrame:
+    import public_tokenizers
+
+    pieces, start = lattice_lm.read_pieces(public_tokenizers.path(name))
+    return lattice_lm.score_documents(_table(spark, sf_dir, "documents"), zstd_langid.is_training("doc_id", 7, 2), pieces, start)
+
+
 def op2_tree_bpe(spark: SparkSession, sf_dir: str, name: str = "word_bpe_49k.json") -> DataFrame:
     import public_tokenizers
 
@@ -90,6 +97,7 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lattice_lm": op1_lattice_lm,
     "op2_tree_bpe": op2_tree_bpe,
     "op3_length_buckets": op3_length_buckets,
     "op4_zstd_langid": op4_zstd_langid,
