@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_parts, chunk_dedup, host_quality, lattice_lm, length_buckets, pii_bootstrap, tree_bpe, url_cascade, zstd_langid
+from . import chat_parts, chunk_dedup, host_quality, lattice_lm, length_buckets, pii_bootstrap, signature_join, tree_bpe, url_cascade, zstd_langid
 
 #: op5: (verdict, host and path prefix).
 URL_RULES = (
@@ -54,6 +54,10 @@ def op5_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], turns.schema)
@@ -102,6 +106,7 @@ QUERIES = {
     "op3_length_buckets": op3_length_buckets,
     "op4_zstd_langid": op4_zstd_langid,
     "op5_bloom_cascade": op5_bloom_cascade,
+    "op6_signature_trees": op6_signature_trees,
     "op7_chat_parts": op7_chat_parts,
     "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_chunk_recipes": op9_chunk_recipes,
