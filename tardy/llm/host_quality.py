@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
-from .common import NOT_WS, small_side, whole, words
+from .common import NOT_WS, bind, small_side, whole, words
 
 
 @dataclass(frozen=True)
@@ -46,54 +46,51 @@ METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def with_metrics(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
-    """``keep`` and the rule inputs of each row (see ``METRICS``)."""
-    parts = docs.select(*keep, whole(text).alias("_t")).withColumns({
-        "_w": words(F.col("_t")),
-        "_l": F.filter(F.split("_t", "\n"), lambda line: line.rlike(NOT_WS)),
-    })
-    names = [c for c in parts.columns if c not in ("_t", "_w", "_l")]
-    windows = F.when(
-        F.size("_w") >= 3,
-        F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.col("_w")[i], F.col("_w")[i + 1], F.col("_w")[i + 2])),
-    ).otherwise(F.array().cast("array<bigint>"))
-    counted = parts.select(
-        *names,
-        F.size("_w").cast("bigint").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
-        F.size(F.regexp_extract_all("_t", F.lit(SYMBOLS), F.lit(0))).cast("bigint").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
-        F.size("_l").cast("bigint").alias("n_lines"),
-        windows.alias("_g"),
-    )
-    # Only texts with a repeated window are sorted: equal windows become
-    # neighbours, and each marks the three words it covers.
-    some = counted.withColumn(
-        "_s",
-        F.when(
-            F.size(F.array_distinct("_g")) < F.size("_g"),
-            F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-        ),
-    )
-    same = lambda x, k: (F.get("_s", k - 1)["h"] == x["h"]) | (F.get("_s", k + 1)["h"] == x["h"])
-    covered = F.transform(F.filter("_s", same), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
-    return some.select(
-        *names,
-        *[c for c in METRICS if c != "n_repeat_words"],
-        F.coalesce(F.size(F.array_distinct(F.flatten(covered))), F.lit(0)).cast("bigint").alias("n_repeat_words"),
+def metrics(text: Column) -> Column:
+    """Struct of the rule inputs (``METRICS``) of a text. All steps are bound
+    inside one expression, so a filter on it can be pushed to the scan without
+    computing a step again for each element."""
+    return bind(text, lambda t: bind(words(t), lambda w: bind(_windows(w), lambda g: bind(_repeated(g), lambda s: _counts(t, w, s)))))
+
+
+def _windows(w: Column) -> Column:
+    """Hashes of the 3-word windows."""
+    return F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))).otherwise(
+        F.array().cast("array<bigint>")
     )
 
 
-def base_failed(rules: HostRules = HostRules()) -> Column:
-    return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words"))
+def _repeated(g: Column) -> Column:
+    """Windows sorted by hash, so that equal ones are neighbours; null where
+    none is repeated, as in most texts, which need no sorting."""
+    return F.when(F.size(F.array_distinct(g)) < F.size(g), F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+
+
+def _counts(t: Column, w: Column, s: Column) -> Column:
+    same = lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])
+    covered = F.transform(F.filter(s, same), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
+    lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(NOT_WS))
+    counts = {
+        "n_words": F.size(w),
+        "word_chars": F.length(F.array_join(w, "")),
+        "n_symbols": F.size(F.regexp_extract_all(t, F.lit(SYMBOLS), F.lit(0))),
+        "n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        "n_repeat_words": F.coalesce(F.size(F.array_distinct(F.flatten(covered))), F.lit(0)),
+        "n_lines": F.size(lines),
+    }
+    return F.struct(*[c.cast("bigint").alias(k) for k, c in counts.items()])
 
 
-def rule_failed(rules: HostRules = HostRules()) -> Column:
+def base_failed(m: Column, rules: HostRules = HostRules()) -> Column:
+    return (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_pct * m["n_words"])
+
+
+def rule_failed(m: Column, rules: HostRules = HostRules()) -> Column:
     """Any rule fails; these failures are what a host is judged by."""
     return (
-        base_failed(rules)
-        | (100 * F.col("n_symbols") > rules.max_symbols_pct * F.col("n_words"))
-        | (100 * F.col("n_dup_lines") > rules.max_dup_lines_pct * F.col("n_lines"))
+        base_failed(m, rules)
+        | (100 * m["n_symbols"] > rules.max_symbols_pct * m["n_words"])
+        | (100 * m["n_dup_lines"] > rules.max_dup_lines_pct * m["n_lines"])
     )
 
 
@@ -118,16 +115,17 @@ def host_verdicts(judged: DataFrame, rules: HostRules = HostRules()) -> DataFram
     )
 
 
+def host_key(host: str) -> Column:
+    return whole(F.col(host).cast("string")).alias("_host")
+
+
 def judge_documents(docs: DataFrame, host: str = "source", text: str = "text", id_col: str = "doc_id", rules: HostRules = HostRules()) -> DataFrame:
     """Per row of ``docs``: id, host, rule inputs, ``base_failed``, the host's
     shrunk ``fail_rate`` and ``kept``. The text is read once; the short rows
     are written before hosts are counted."""
-    judged = materialize(
-        with_metrics(docs, [F.col(id_col).alias("_id"), whole(F.col(host).cast("string")).alias("_host")], text)
-        .withColumn("base_failed", base_failed(rules))
-        .withColumn("_failed", rule_failed(rules)),
-        "rule_inputs",
-    )
+    rows = docs.select(F.col(id_col).alias("_id"), host_key(host), metrics(whole(text)).alias("_m"))
+    judged = rows.select("_id", "_host", "_m.*", base_failed(F.col("_m"), rules).alias("base_failed"), rule_failed(F.col("_m"), rules).alias("_failed"))
+    judged = materialize(judged, "rule_inputs")
     hosts = host_verdicts(judged, rules)
     out = judged.join(small_side(hosts), "_host")
     return out.select(
@@ -144,9 +142,7 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text", rules:
     """The rows of ``docs`` that pass, all columns unchanged. Rules are
     computed twice, so that texts are never shuffled or written: once for the
     hosts' counts, once in the filtering pass, next to the (small) verdicts."""
-    key = whole(F.col(host).cast("string")).alias("_host")
-    counted = with_metrics(docs, [key], text).withColumn("_failed", rule_failed(rules))
-    hosts = host_verdicts(counted.select("_host", "_failed"), rules)
-    rows = with_metrics(docs, [key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")], text)
-    good = rows.where(~base_failed(rules)).join(small_side(hosts.where("host_kept").select("_host")), "_host", "left_semi")
-    return good.select("_row.*")
+    hosts = host_verdicts(docs.select(host_key(host), bind(metrics(whole(text)), lambda m: rule_failed(m, rules)).alias("_failed")), rules)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    good = docs.where(bind(metrics(whole(text)), lambda m: ~base_failed(m, rules))).select(host_key(host), row)
+    return good.join(small_side(hosts.where("host_kept").select("_host")), "_host", "left_semi").select("_row.*")

@@ -202,7 +202,7 @@ def redact(docs: DataFrame, text: str = "text", model: Bootstrap = Bootstrap())
     """``docs`` with each span replaced by its kind in angle brackets (spans
     that overlap by the first one's); ``n_chars``, if there, is updated. Null
     texts stay null. Texts are matched twice and never shuffled."""
-    learned = materialize(with_matches(docs, [], text, model).where(F.size("_inst") > 0).select("_inst"), "pii_instances")
+    learned = materialize(with_matches(docs, [], text, model).select("_inst"), "pii_instances")
     patterns = learn_patterns(learned, model)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = with_matches(docs, [row], text, model)
