@@ -57,7 +57,7 @@ U = np.uint64
 @dataclass(frozen=True)
 class Join:
     words: int = 5
-    sketch_bits: int = 22
+    sketch_bits: int = 26
     #: Prefix rows of a task that groups them, and of a dealt frequent shingle.
     group_rows: int = 250_000
     salt_rows: int = 65_536
@@ -103,21 +103,33 @@ class Shingler:
         return np.unique(s), cls, check
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """Bitmap (64-bit words) of 2 to 4 bits a shingle, a power of two."""
+def signature(s: np.ndarray) -> bytes:
+    """Parity bitmap of 2 to 4 bits a shingle (a power of two), then the OR
+    bitmap of half as many, in 64-bit words."""
     bits = max(64, 1 << (2 * len(s) - 1).bit_length())
-    out = np.zeros(bits // 64, U)
+    half = max(64, bits // 2)
+    odd, any_ = np.zeros(bits // 64, U), np.zeros(half // 64, U)
     at = s & U(bits - 1)
-    np.bitwise_or.at(out, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
-    return out
+    np.bitwise_xor.at(odd, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
+    at = (s >> U(32)) & U(half - 1)
+    np.bitwise_or.at(any_, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
+    return odd.tobytes() + any_.tobytes()
 
 
-def fold(bitmap: np.ndarray, words: int) -> np.ndarray:
-    """To ``words`` words; the last axis is the bitmap."""
-    while bitmap.shape[-1] > words:
-        half = bitmap.shape[-1] // 2
-        bitmap = bitmap[..., :half] | bitmap[..., half:]
-    return bitmap
+def unpack(sig: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmap folded to ``words`` words, OR bitmap to half of that."""
+    n = parity_words(sig)
+    both = np.frombuffer(sig, U)
+    odd, any_ = both[:n], both[n:]
+    while len(odd) > words:
+        odd = odd[: len(odd) // 2] ^ odd[len(odd) // 2 :]
+    while len(any_) > max(1, words // 2):
+        any_ = any_[: len(any_) // 2] | any_[len(any_) // 2 :]
+    return odd, any_
+
+
+def parity_words(sig: bytes) -> int:
+    return max(1, len(sig) // 8 * 2 // 3)
 
 
 def _signed(x: int) -> int:
@@ -126,31 +138,37 @@ def _signed(x: int) -> int:
 
 def _describe(how: Join, seed: int):
     """One row per document, and the task's sketch: shingles counted by the
-    leading bits of their hashes, in compressed pieces."""
+    leading bits of their hashes, as compressed (cell, count) lists of 64
+    pieces."""
+    names = ["_id", "cls", "chk", "n", "sig", "piece", "cells"]
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary()]
+
+    def sketch(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells, counts = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        cut = np.searchsorted(cells, np.arange(65) << (how.sketch_bits - 6))
+        used = [i for i in range(64) if cut[i] < cut[i + 1]]
+        packed = [zlib.compress(np.diff(cells[cut[i] : cut[i + 1]], prepend=0).astype(np.uint32).tobytes() + counts[cut[i] : cut[i + 1]].astype(np.uint32).tobytes(), 1) for i in used]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(used), k) for k in kinds[:5]], pa.array(used, kinds[5]), pa.array(packed, kinds[6])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, cells = Shingler(seed, how.words), np.zeros(1 << how.sketch_bits, np.uint32)
+        shingle, held, size = Shingler(seed, how.words), [], 0
         for batch in batches:
             out = []
             for t in batch.column(1).to_pylist():
                 s, cls, check = shingle(t)
                 if len(s):
-                    np.add.at(cells, (s >> U(64 - how.sketch_bits)).astype(np.int64), np.uint32(1))
-                out.append((_signed(cls), _signed(check), len(s), signature(s).tobytes() if len(s) else b""))
-            none = pa.nulls(len(out), pa.int32())
+                    held.append((s >> U(64 - how.sketch_bits)).astype(np.uint32))
+                    size += len(s)
+                out.append((_signed(cls), _signed(check), len(s), signature(s) if len(s) else b""))
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), none, pa.nulls(len(out), pa.binary())],
-                names=["_id", "cls", "chk", "n", "sig", "piece", "cells"],
-            )
-        pieces = np.split(cells, 64)
-        used = [i for i, p in enumerate(pieces) if p.any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(used), batch_type), *[pa.nulls(len(used), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())], pa.array(used, pa.int32()), pa.array([zlib.compress(pieces[i].tobytes(), 1) for i in used], pa.binary())],
-            names=["_id", "cls", "chk", "n", "sig", "piece", "cells"],
-        )
-
-    batch_type = pa.int64()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds[1:5], strict=True)], *[pa.nulls(len(out), k) for k in kinds[5:]]], names=names)
+            if size > 4_000_000:
+                size = 0
+                yield sketch(held)
+        if held:
+            yield sketch(held)
+
     return run
 
 
@@ -168,21 +186,40 @@ def describe(docs: DataFrame, text: str, id_col: str, how: Join) -> tuple[DataFr
 
 
 def frequent_cells(described: DataFrame, how: Join) -> bytes:
-    """For each sketch cell the binary logarithm of its count, or 0 where the
-    count is no more than four times the mean; compressed, of a fixed size."""
+    """Sketch cells that count more than four times the mean (a fourth of the
+    cells at most) with the binary logarithm of the count, compressed."""
     total = described.agg(F.sum("n")).first()[0] or 0
     least = 4 * total / (1 << how.sketch_bits) + 8
 
     def add(table: pa.Table) -> pa.Table:
-        cells = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in table.column("cells").to_pylist())
-        level = np.where(cells > least, np.log2(np.maximum(cells, 1)), 0).astype(np.uint8)
-        return pa.table({"piece": table.column("piece")[:1], "level": pa.array([zlib.compress(level.tobytes())], pa.binary())})
+        piece = table.column("piece")[0].as_py()
+        first, cells = piece << (how.sketch_bits - 6), np.zeros(1 << (how.sketch_bits - 6), np.int64)
+        for x in table.column("cells").to_pylist():
+            at, counts = np.split(np.frombuffer(zlib.decompress(x), np.uint32), 2)
+            cells[np.cumsum(at, dtype=np.int64) - first] += counts
+        often = np.flatnonzero(cells > least)
+        level = np.log2(cells[often]).astype(np.uint8)
+        return pa.table({"piece": pa.array([piece], pa.int32()), "cells": pa.array([(often + first).astype(np.uint32).tobytes()], pa.binary()), "level": pa.array([level.tobytes()], pa.binary())})
+
+    got = described.where("piece IS NOT NULL").select("piece", "cells").groupBy("piece").applyInArrow(add, "piece int, cells binary, level binary").collect()
+    got = sorted(got, key=lambda r: r["piece"])  # at most 64 rows of bounded size
+    return zlib.compress(b"".join(bytes(r["cells"]) for r in got) + b"".join(bytes(r["level"]) for r in got))
 
-    got = described.where("piece IS NOT NULL").select("piece", "cells").groupBy("piece").applyInArrow(add, "piece int, level binary").collect()
-    levels = np.zeros((64, (1 << how.sketch_bits) // 64), np.uint8)
-    for r in got:  # at most 64 pieces of a fixed size
-        levels[r["piece"]] = np.frombuffer(zlib.decompress(bytes(r["level"])), np.uint8)
-    return zlib.compress(levels.tobytes())
+
+class Frequent:
+    """Level of each shingle's cell, 0 if it isn't frequent."""
+
+    def __init__(self, packed: bytes, bits: int):
+        raw = zlib.decompress(packed)
+        n = len(raw) // 5
+        self.cells, self.level, self.bits = np.frombuffer(raw[: 4 * n], np.uint32), np.frombuffer(raw[4 * n :], np.uint8), bits
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.cells):
+            return np.zeros(len(s), np.int64)
+        cell = (s >> U(64 - self.bits)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+        return np.where(self.cells[at] == cell, self.level[at], 0).astype(np.int64)
 
 
 # ---- blocks ---------------------------------------------------------------
@@ -198,14 +235,13 @@ def _prefixes(how: Join, seed: int, levels: bytes, groups: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(seed, how.words)
-        level = np.frombuffer(zlib.decompress(levels), np.uint8)
+        level = Frequent(levels, how.sketch_bits)
         keys, owners, seen, rows = [], [], set(), 0
 
         def flush() -> pa.RecordBatch:
             k = np.concatenate(keys)
             c = np.repeat(np.array([o for o, _ in owners], np.int64), [m for _, m in owners])
-            at = level[(k >> U(64 - how.sketch_bits)).astype(np.int64)].astype(np.int64)
-            salts = np.maximum((1 << at) // how.salt_rows, 1)
+            salts = np.maximum((1 << level(k)) // how.salt_rows, 1)
             salt = np.where(salts > 1, (c.view(U) % salts.astype(U)).astype(np.int64), 0)
             group = ((k + salt.astype(U) * U(0x9E3779B97F4A7C15)) % U(groups)).astype(np.int64)
             order = np.argsort(group, kind="stable")
@@ -215,7 +251,9 @@ def _prefixes(how: Join, seed: int, levels: bytes, groups: int):
             keys.clear()
             owners.clear()
             pack = lambda x: pa.array([x[p].tobytes() for p in parts], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pack(k), pack(c), pack((salts > 1) * (salt + 1))], names=["g", "keys", "classes", "salts"])
+            short = (k >> U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # 40 bits: keys that
+            # meet by chance make one block, which costs comparisons only
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pack(short), pack(c), pack(((salts > 1) * (salt + 1)).astype(np.uint32))], names=["g", "keys", "classes", "salts"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -223,7 +261,7 @@ def _prefixes(how: Join, seed: int, levels: bytes, groups: int):
                 if not len(s) or cls in seen:
                     continue
                 seen.add(cls)
-                often = level[(s >> U(64 - how.sketch_bits)).astype(np.int64)] > 0
+                often = level(s) > 0
                 p = prefix_size(len(s))
                 keys.append(np.concatenate([s[~often], s[often]])[:p])
                 owners.append((_signed(cls), p))
@@ -241,8 +279,10 @@ def _blocks(table: pa.Table) -> pa.Table:
     """Of a group of prefix rows: pairs (smallest member, member) of the blocks,
     the blocks of three or more members once each, and one member of each part
     of a dealt shingle."""
-    unpack = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    k, c, salt = unpack("keys", U), unpack("classes", np.int64), unpack("salts", np.int64)
+    joined = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+    five = joined("keys", np.uint8).reshape(-1, 5)
+    k = np.pad(five, ((0, 0), (0, 3))).copy().view("<u8").ravel().astype(np.int64)
+    c, salt = joined("classes", np.int64), joined("salts", np.uint32).astype(np.int64)
     order = np.lexsort((c, salt, k))
     k, c, salt = k[order], c[order], salt[order]
     fresh = np.ones(len(k), bool)  # a class may come from several tasks
@@ -259,7 +299,7 @@ def _blocks(table: pa.Table) -> pa.Table:
     for i in np.flatnonzero((size >= 3) | (salt[start] > 0)):
         members = c[start[i] : start[i] + size[i]].tobytes()
         if salt[start[i]]:  # part of a dealt shingle: the block is the shingle's
-            parts.append((int(k[start[i]].view(np.int64)), members))
+            parts.append((int(k[start[i]]), members))
         else:
             out[_signed(xxhash.xxh64_intdigest(members))] = members
     blocks = [*out.items(), *parts]
@@ -283,21 +323,24 @@ def _possible(common, slack, size_a, size_b):
 
 
 def pair_possible(sig_a: bytes, n_a: int, sig_b: bytes, n_b: int) -> bool:
+    """100 i >= 75 (x + y - i) is also 7 d <= x + y for the d = x + y - 2 i
+    shingles that aren't common."""
     if 4 * min(n_a, n_b) < 3 * max(n_a, n_b):
         return False
-    a, b = np.frombuffer(sig_a, U), np.frombuffer(sig_b, U)
-    w = min(len(a), len(b))
-    a, b = fold(a, w), fold(b, w)
-    most = min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
-    return 7 * most >= 3 * (n_a + n_b)
+    w = min(parity_words(sig_a), parity_words(sig_b))
+    (oa, a), (ob, b) = unpack(sig_a, w), unpack(sig_b, w)
+    if 7 * int(np.bitwise_count(oa ^ ob).sum()) > n_a + n_b:
+        return False
+    return bool(_possible(min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum())), 0, n_a, n_b))
 
 
 class Tree:
-    """Levels of nodes over documents ordered by size, leaves first: OR of the
-    bitmaps, smallest and largest size, and the most shingles of a set that
+    """Levels of nodes over documents ordered by component and size, leaves
+    first: OR of the bitmaps, smallest and largest size, and the most shingles of a set that
     have no bit of their own (``slack``)."""
 
-    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, fanout: int):
+    def __init__(self, parity: np.ndarray, bitmaps: np.ndarray, sizes: np.ndarray, fanout: int):
+        self.parity = parity
         slack = sizes - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
         self.levels = [(bitmaps, sizes, sizes, slack)]
         self.fanout = fanout
@@ -330,7 +373,9 @@ def dual_traversal(x: Tree, y: Tree, same: bool) -> tuple[np.ndarray, np.ndarray
             keep[s : s + 8192] = _possible(common, np.minimum(a[3][u], b[3][v]), a[1][u], b[1][v])
         i, j = i[keep], j[keep]
         if level == 0:
-            return i, j
+            differ = [np.bitwise_count(x.parity[i[s : s + 8192]] ^ y.parity[j[s : s + 8192]]).sum(1, dtype=np.int64) for s in range(0, len(i), 8192)]
+            near = 7 * np.concatenate([*differ, np.zeros(0, np.int64)]) <= a[1][i] + b[1][j]
+            return i[near], j[near]
         level -= 1
         i, j = _children(i, j, x, y, level)
 
@@ -356,14 +401,14 @@ def _tree_pairs(how: Join):
     def run(table: pa.Table) -> pa.Table:
         cls, comp, n = (table.column(c).to_numpy() for c in ("cls", "comp", "n"))
         side = table.column("side").to_numpy()  # 0: compared inside; 1, 2: across
-        words = np.array([len(s) // 8 for s in table.column("sig").to_pylist()])
         sig = table.column("sig").to_pylist()
+        words = np.array([parity_words(s) for s in sig])
         out_a, out_b = [], []
 
         def tree(rows: np.ndarray, w: int) -> tuple[Tree, np.ndarray]:
-            rows = rows[np.lexsort((comp[rows], n[rows]))]
-            maps = np.stack([fold(np.frombuffer(sig[r], U), w) for r in rows])
-            return Tree(maps, n[rows], how.fanout), rows
+            rows = rows[np.lexsort((n[rows], comp[rows]))]  # near copies side by side
+            maps = [unpack(sig[r], w) for r in rows]
+            return Tree(np.stack([m[0] for m in maps]), np.stack([m[1] for m in maps]), n[rows], how.fanout), rows
 
         def emit(p: np.ndarray, q: np.ndarray) -> None:
             apart = comp[p] != comp[q]
