@@ -537,11 +537,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     first = links(stars, classes, docs, text, id_col, how, seed, "star")
     comps = materialize(components(first), "star_components")
 
-    # Blocks that hold several components go on to the trees.
+    # Blocks that hold several components go on to the trees, all those with
+    # the same prevailing component as one, so that their pairs come once.
     members = made.where("members IS NOT NULL").select("block", F.explode("members").alias("cls")).distinct()
-    members = members.join(comps, "cls", "left").select("block", "cls", F.coalesce("comp", "cls").alias("comp"))
-    several = members.groupBy("block").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d")
-    held = members.join(several.select("block", "g"), "block").join(classes.select("cls", "n", "sig"), "cls")
+    members = materialize(members.join(comps, "cls", "left").select("block", "cls", F.coalesce("comp", "cls").alias("comp")), "block_members")
+    shares = members.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("m"))
+    several = shares.groupBy("block").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", "comp"))["comp"].alias("main")).where("k > 1")
+    held = materialize(members.join(several.select("block", "main"), "block").select(F.col("main").alias("block"), "cls", "comp").distinct(), "tree_members")
+    sizes = held.groupBy("block").agg(F.count(F.lit(1)).alias("g"))
+    held = held.join(sizes, "block").join(classes.select("cls", "n", "sig"), "cls")
     tiles = F.ceil(F.col("g") / how.tile).cast("int")
     own = F.pmod(F.xxhash64("cls"), tiles).cast("int")
     tiled = held.withColumn("_o", own).withColumn("_k", F.explode(F.sequence(F.lit(0), tiles - 1)))
