@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WS + "+"), lambda w: w != "")
 
 
+def each_text(column, rows: int = 64) -> Iterator:
+    """The values of an Arrow column, turned into Python objects a few rows at
+    a time, as a batch of long texts takes several times its size at once."""
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).to_pylist()
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once (a lambda variable, so that
     lambdas inside ``body`` read it and don't compute it again per element)."""

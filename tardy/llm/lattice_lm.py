@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
-from .common import whole
+from .common import each_text, whole
 
 MARK = 0x2581  # begins a word's pieces
 FOREIGN = "\U0010ffff"  # stands for the marker inside a word; in no piece
@@ -262,7 +262,7 @@ def count_words(docs: DataFrame, text: str, training: Column, limit: int = 400_0
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["word", "n_train", "n_all"])
 
         for batch in batches:
-            for t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for t, own in zip(each_text(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 (train if own else rest).update(t.encode().lower().split())  # bytes: ASCII only
                 if len(train) + len(rest) > limit:
                     yield flush()
@@ -370,7 +370,7 @@ def score_documents(
 
     def ask(table: pa.Table) -> pa.Table:
         found: set[bytes] = set()
-        for t in table.column("t").to_pylist():
+        for t in each_text(table.column("t")):
             found.update(t.encode().lower().split())
         words = pa.array(list(found), pa.binary()).cast(pa.string())
         block = table.column("block")[0].as_py() if table.num_rows else 0
@@ -388,7 +388,7 @@ def score_documents(
         with np.errstate(divide="ignore"):  # the whole-word arc joins the paths
             lattice = np.logaddexp(np.log(np.maximum(c - discount, 0) / (n + 2)), spelled + found.column("logp").to_numpy()) / math.log(10)
         out = []
-        for t in texts.column("t").to_pylist():
+        for t in each_text(texts.column("t")):
             tokens = t.encode().lower().split()
             i = np.fromiter(map(at.__getitem__, tokens), np.int64, len(tokens))
             out.append((len(tokens) + 1, int((c[i] > 0).sum()) + (n_docs > 0), float(base[i].sum()) + end_base, float(lattice[i].sum()) + end_score))

@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
-from .common import small_side, whole
+from .common import each_text, small_side, whole
 
 U = np.uint64
 
@@ -86,7 +86,7 @@ class Shingler:
         cls, check = both >> 64, both & 0xFFFFFFFFFFFFFFFF
         if len(found) < self.n:
             return np.array([xxhash.xxh64_intdigest(joined, self.seed)], U), cls, check
-        if len(self.known) > 400_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         known, digest, seed = self.known, xxhash.xxh64_intdigest, self.seed
         for w in found:
@@ -155,7 +155,7 @@ def _describe(how: Join, seed: int):
         shingle, held, size = Shingler(seed, how.words), [], 0
         for batch in batches:
             out = []
-            for t in batch.column(1).to_pylist():
+            for t in each_text(batch.column(1)):
                 s, cls, check = shingle(t)
                 if len(s):
                     held.append((s >> U(64 - how.sketch_bits)).astype(np.uint32))
@@ -163,7 +163,7 @@ def _describe(how: Join, seed: int):
                 out.append((_signed(cls), _signed(check), len(s), signature(s) if len(s) else b""))
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds[1:5], strict=True)], *[pa.nulls(len(out), k) for k in kinds[5:]]], names=names)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 size = 0
                 yield sketch(held)
         if held:
@@ -256,7 +256,7 @@ def _prefixes(how: Join, seed: int, levels: bytes, groups: int):
             return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pack(short), pack(c), pack(((salts > 1) * (salt + 1)).astype(np.uint32))], names=["g", "keys", "classes", "salts"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in each_text(batch.column(0)):
                 s, cls, _ = shingle(t)
                 if not len(s) or cls in seen:
                     continue
@@ -266,7 +266,7 @@ def _prefixes(how: Join, seed: int, levels: bytes, groups: int):
                 keys.append(np.concatenate([s[~often], s[often]])[:p])
                 owners.append((_signed(cls), p))
                 rows += p
-                if rows > 2_000_000:
+                if rows > 500_000:
                     yield flush()
                     rows = 0
         if keys:
@@ -451,7 +451,7 @@ def _own_texts(how: Join, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(seed, how.words)
         for batch in batches:
-            ok = [_signed(shingle(t)[1]) == c for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            ok = [_signed(shingle(t)[1]) == c for c, t in zip(batch.column(0).to_pylist(), each_text(batch.column(1)), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -469,7 +469,8 @@ def _verify(how: Join, seed: int):
             return sets[cls]
 
         for batch in batches:
-            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "t_a", "t_b"))
+            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            ta, tb = (each_text(batch.column(c)) for c in ("t_a", "t_b"))
             ok = []
             for p, q, x, y in zip(a, b, ta, tb, strict=True):
                 x, y = of(p, x), of(q, y)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import materialize
-from .common import WS, whole
+from .common import WS, each_text, whole
 
 LEAF = 4096
 CACHE = 200_000
@@ -134,7 +134,7 @@ def _encode_short(path: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         for batch in batches:
-            made = [codec.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            made = [codec.encode(t) for t in each_text(batch.column(batch.num_columns - 1))]
             ids = pa.array([x[0] for x in made], pa.list_(pa.int32()))
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, ids, pa.array([x[1] for x in made], pa.string())], names=[*names, "ids", "decoded"])
