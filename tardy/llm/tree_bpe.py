@@ -23,6 +23,7 @@ leaves, spread over tasks, and gathered per document.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import materialize
-from .common import WS, each_text, whole
+from .common import WS, whole
 
 LEAF = 4096
 CACHE = 200_000
@@ -47,6 +48,7 @@ class Codec:
     _known: dict[str, Codec] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -86,11 +88,13 @@ class Codec:
         for r, e in zip(other, self.tok.encode_batch_fast([r.decode() for r in other], add_special_tokens=False), strict=True):
             self.runs[r] = tuple(e.ids), self.spelled(e.ids)
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        runs = text.encode("utf-8").split()  # at ASCII white space
-        self.learn_runs(set(runs))
-        found = list(map(self.runs.__getitem__, runs))
-        return list(chain.from_iterable(x[0] for x in found)), " ".join(x[1] for x in found if x[0])
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+        """Ids and decoded text of each text; new runs are encoded together."""
+        split = [t.encode("utf-8").split() for t in texts]  # at ASCII white space
+        self.learn_runs(set(chain.from_iterable(split)))
+        for runs in split:
+            found = list(map(self.runs.__getitem__, runs))
+            yield list(chain.from_iterable([x[0] for x in found])), " ".join([x[1] for x in found if x[0]])
 
     def pretokens(self, run: str) -> Iterator[tuple[str, int | None]]:
         """(symbols, None) of each pre-token or (string, id) of a special token."""
@@ -130,14 +134,15 @@ class Codec:
         return leaves[0]
 
 
-def _encode_short(path: str, names: list[str]):
+def _encode_short(path: str, names: list[str], rows: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         for batch in batches:
-            made = [codec.encode(t) for t in each_text(batch.column(batch.num_columns - 1))]
-            ids = pa.array([x[0] for x in made], pa.list_(pa.int32()))
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, ids, pa.array([x[1] for x in made], pa.string())], names=[*names, "ids", "decoded"])
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                ids, decoded = zip(*codec.encode(part.column(part.num_columns - 1).to_pylist()), strict=True)
+                cols = part.columns[:-1]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[*names, "ids", "decoded"])
 
     return run
 
