@@ -25,9 +25,11 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,7 +40,14 @@ from ..sources.tables import materialize
 from .common import WS, whole
 
 LEAF = 4096
-CACHE = 200_000
+CACHE = 300_000
+TAIL = b".,;:!?"
+#: Letters that normalising leaves alone but for the case.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: The symbol of each byte: itself where it is printable in Latin-1, the others
+#: in order from U+0100.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_SYMBOLS = {b: b for b in _PRINTED} | {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 OUT = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
 
@@ -62,7 +71,9 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
-        self.runs: dict[bytes, tuple[tuple[int, ...], str]] = {}
+        self.ids: dict[bytes, bytes] = {}
+        self.decoded: dict[bytes, str] = {}
+        self.empty: set[bytes] = set()
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -74,27 +85,56 @@ class Codec:
         return " ".join(map(self.strings.__getitem__, ids))
 
     def learn_runs(self, runs: set[bytes]) -> None:
-        """Encodes runs that the cache doesn't hold."""
-        new = [r for r in runs if r not in self.runs]
-        if len(self.runs) + len(new) > CACHE:
-            self.runs.clear()
-            new = list(runs)
-        plain = [r for r in new if r.isalpha()]  # bytes: ASCII letters, one pre-token
-        tokenize = self.tok.model.tokenize
-        for r in plain:
-            ids = tuple(t.id for t in tokenize(r.lower().decode()))
-            self.runs[r] = ids, self.spelled(ids)
-        other = [r for r in new if not r.isalpha()]
-        for r, e in zip(other, self.tok.encode_batch_fast([r.decode() for r in other], add_special_tokens=False), strict=True):
-            self.runs[r] = tuple(e.ids), self.spelled(e.ids)
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
-        """Ids and decoded text of each text; new runs are encoded together."""
+        """Encodes runs that the cache doesn't hold. A tail of common
+        punctuation after a letter is a pre-token of its own."""
+        new = runs - self.ids.keys()
+        if len(self.ids) + len(new) > CACHE:
+            for held in (self.ids, self.decoded, self.empty):
+                held.clear()
+            new = runs
+        whole_runs, tailed = [], []
+        for r in new:
+            stem = r.rstrip(TAIL)
+            if stem != r and LETTERS(stem.decode()[-1:]):
+                tailed.append((r, stem, r[len(stem) :]))
+            else:
+                whole_runs.append(r)
+        self._learn(whole_runs)
+        if tailed:
+            self._learn({x for _, *two in tailed for x in two if x not in self.ids})
+            for r, stem, tail in tailed:
+                self.ids[r] = self.ids[stem] + self.ids[tail]
+                self.decoded[r] = f"{self.decoded[stem]} {self.decoded[tail]}"
+
+    def _learn(self, runs) -> None:
+        """Words of Latin-1 letters are one pre-token each and go to the merges
+        at once, all other runs to the library as they are."""
+        other, tokenize, strings = [], self.tok.model.tokenize, self.strings
+        for r in runs:
+            text = r.decode()
+            if not LETTERS(text):
+                other.append(text)
+                continue
+            text = text.lower()
+            ids = [t.id for t in tokenize(text if r.isascii() else text.encode().decode("latin-1").translate(BYTE_SYMBOLS))]
+            self.ids[r] = array("i", ids).tobytes()
+            self.decoded[r] = " ".join([strings[i] for i in ids])
+        for text, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            r = text.encode()
+            self.ids[r], self.decoded[r] = array("i", e.ids).tobytes(), self.spelled(e.ids)
+            if not e.ids:
+                self.empty.add(r)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
+        """Ids (packed, 4 bytes each) and decoded text of each text; the new
+        runs of all texts are encoded together."""
         split = [t.encode("utf-8").split() for t in texts]  # at ASCII white space
         self.learn_runs(set(chain.from_iterable(split)))
+        ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
         for runs in split:
-            found = list(map(self.runs.__getitem__, runs))
-            yield list(chain.from_iterable([x[0] for x in found])), " ".join([x[1] for x in found if x[0]])
+            if self.empty and not self.empty.isdisjoint(runs):
+                runs = [r for r in runs if r not in self.empty]
+            yield b"".join(map(ids, runs)), " ".join(map(decoded, runs))
 
     def pretokens(self, run: str) -> Iterator[tuple[str, int | None]]:
         """(symbols, None) of each pre-token or (string, id) of a special token."""
@@ -141,8 +181,10 @@ def _encode_short(path: str, names: list[str], rows: int = 256):
             for i in range(0, batch.num_rows, rows):
                 part = batch.slice(i, rows)
                 ids, decoded = zip(*codec.encode(part.column(part.num_columns - 1).to_pylist()), strict=True)
-                cols = part.columns[:-1]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[*names, "ids", "decoded"])
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(ends), flat)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(decoded, pa.string())], names=[*names, "ids", "decoded"])
 
     return run
 
@@ -162,7 +204,7 @@ def _cut_long(path: str, leaf: int):
                 for r in text.encode("utf-8").split():
                     if len(r) <= leaf:
                         codec.learn_runs({r})
-                        ids += codec.runs[r][0]
+                        ids += array("i", codec.ids[r])
                         continue
                     for symbols, special in codec.pretokens(r.decode()):
                         if special is not None:
