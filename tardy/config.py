@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 
 
@@ -61,11 +60,3 @@ SAMPLE_SEED = 1
 RESPONSE = "procrastination_mean_rank"
 COVARIATES = ("gender", "is_a_urm", "first_gen_status", "ethnicity")
 # ---------------------------------------------------------------------------
-
-
-def grid_configs() -> list[CleanConfig]:
-    """The 108 grid points in the loop order of the study."""
-    return [
-        CleanConfig(a_n, s_n, a_t, s_t)
-        for a_n, s_n, a_t, s_t in itertools.product(GRID_A_N, GRID_S_N, GRID_A_THRES, GRID_S_THRES)
-    ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import ETHNICITY_REMAP
@@ -37,10 +37,6 @@ def ethnicity_remap(c: str | Column = "ethnicity") -> Column:
     return expr.otherwise(c)
 
 
-def with_ethnicity_remap(df: DataFrame, column: str = "ethnicity") -> DataFrame:
-    return df.withColumn(column, ethnicity_remap(column))
-
-
 def null_tokens(c: str | Column, tokens: Iterable[str] = PANDAS_NULL_TOKENS) -> Column:
     """Turn the missing-value spellings pandas recognises into SQL NULL."""
     c = col_of(c)

@@ -18,10 +18,6 @@ from .ranking import group_quantiles
 SQRT_2PI = math.sqrt(2.0 * math.pi)
 
 
-def _lit_keys(keys: Sequence[str]) -> list[Column]:
-    return [F.col(k) for k in keys]
-
-
 def kde_grid(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,9 +33,10 @@ def kde_grid(
     values or zero variance give no curve. Output: keys, ``grid_i``, ``x``,
     ``density``.
 
-    Each row meets its curve's ``gridsize`` points through an in-row
-    ``sequence`` explode (a fixed expansion, not a pair join); the sum per
-    (curve, point) is combined map-side, so a hot curve is reduced per task.
+    Equal values of a curve are counted first. Each distinct value then meets
+    the curve's ``gridsize`` points through an in-row ``sequence`` explode (not
+    a pair join), weighted by its count; the sum per (curve, point) is combined
+    map-side, so a hot curve is reduced per task.
     """
     keys = list(keys)
     v = F.col(value)
@@ -69,15 +66,16 @@ def kde_grid(
     )
     pts = (
         df.where(v.isNotNull())
-        .select(*keys, v.alias("_kv"))
+        .groupBy(*keys, v.alias("_kv"))
+        .agg(F.count(F.lit(1)).alias("_kc"))
         .join(stats.select(*keys, "_kbw", "_klo", "_khi", "_kstep"), keys)
-        .select(*keys, "_kv", "_kbw", "_klo", "_khi", "_kstep", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_i"))
+        .select(*keys, "_kv", "_kc", "_kbw", "_klo", "_khi", "_kstep", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_i"))
         .withColumn("x", x_at)
-        .groupBy(*keys, "grid_i", "x")
-        .agg(F.sum(F.exp(F.lit(-0.5) * F.pow((F.col("x") - F.col("_kv")) / F.col("_kbw"), 2))).alias("_ks"))
+        .groupBy(*keys, "grid_i")
+        .agg(F.sum(F.col("_kc") * F.exp(F.lit(-0.5) * F.pow((F.col("x") - F.col("_kv")) / F.col("_kbw"), 2))).alias("_ks"))
     )
-    return pts.join(stats.select(*keys, "_kn", "_kbw"), keys).select(
-        *keys, "grid_i", "x", (F.col("_ks") / (F.col("_kn") * F.col("_kbw") * F.lit(SQRT_2PI))).alias("density")
+    return pts.join(stats.select(*keys, "_kn", "_kbw", "_klo", "_khi", "_kstep"), keys).select(
+        *keys, "grid_i", x_at.alias("x"), (F.col("_ks") / (F.col("_kn") * F.col("_kbw") * F.lit(SQRT_2PI))).alias("density")
     )
 
 

@@ -169,6 +169,12 @@ def average_rank(
             out = out.withColumn(pct_col, F.col(rank_col) / F.count(v).over(Window.partitionBy(*keys)))
         return out
 
+    if df.schema[value].dataType.typeName() in ("timestamp", "timestamp_ntz"):
+        # ranked as microseconds: pandas' timestamps end in 1677 and 2262
+        zero = "TIMESTAMP_NTZ'1970-01-01 00:00:00'" if df.schema[value].dataType.typeName() == "timestamp_ntz" else "timestamp_micros(0)"
+        with_micros = df.withColumn("_micros", F.expr(f"timestampdiff(MICROSECOND, {zero}, `{value}`)"))
+        return average_rank(with_micros, keys, "_micros", rank_col, pct_col, "range").drop("_micros")
+
     pos = value_positions(df, keys, value, strategy="range")
     cols = [*keys, value, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(rank_col)]
     if pct_col:

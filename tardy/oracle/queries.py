@@ -33,9 +33,7 @@ sql("course_assignments", "SELECT * FROM w_course_assignments")
 sql("course_submissions", "SELECT * FROM w_course_submissions")
 sql("course_meta", "SELECT * FROM w_course_meta")
 sql("eligible_courses", "SELECT * FROM w_eligible")
-sql("top_courses", """
-SELECT * FROM w_course_enrollments ORDER BY enrollments DESC, course_canvas_id ASC LIMIT 10
-""")
+sql("top_courses", "SELECT * FROM w_course_enrollments ORDER BY enrollments DESC, course_canvas_id ASC")
 sql("submissions", "SELECT * FROM w_submissions", SUB_DOUBLES)
 sql("submissions_sis_only", submissions_sql(sis_only=True), SUB_DOUBLES)
 sql("submissions_quiz_only", submissions_sql(quiz_only=True), SUB_DOUBLES)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import CleanConfig
-from ..sources.fixtures import warehouse_tables
-from ..sources.tables import materialize
+from ..sources.fixtures import source_version, warehouse_tables
+from ..sources.tables import materialize, scratch_path
 from . import clean as C
 from . import scores as S
 from . import warehouse as W
@@ -46,9 +46,32 @@ def wh(spark, sf):
     return warehouse_tables(spark, sf)
 
 
+_STAGES: dict[tuple, str] = {}
+
+
+def stage(spark, sf, name, build, *config):
+    """Table ``name``, written once per source version and configuration in a
+    session and read by every later query. ``forget_stages`` drops them."""
+    key = (spark.sparkContext.applicationId, source_version(spark, sf), name, *config)
+    if key not in _STAGES:
+        df = build()
+        path = scratch_path(df, name)
+        df.write.mode("overwrite").parquet(path)
+        _STAGES[key] = path
+    return spark.read.parquet(_STAGES[key])
+
+
+def forget_stages(spark: SparkSession) -> None:
+    """Delete the stage tables this session has written."""
+    own = [k for k in _STAGES if k[0] == spark.sparkContext.applicationId]
+    for key in own:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop(key))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def subs(spark, sf):
     """The submission table, written once (the study's CREATE TABLE AS)."""
-    return materialize(W.submissions(wh(spark, sf)), "submissions")
+    return stage(spark, sf, "submissions", lambda: W.submissions(wh(spark, sf)))
 
 
 def analysis(spark, sf):
@@ -56,7 +79,7 @@ def analysis(spark, sf):
 
 
 def cleaned(spark, sf, cfg: CleanConfig = CleanConfig()):
-    return materialize(C.clean(analysis(spark, sf), cfg), "clean_submissions")
+    return stage(spark, sf, "clean_submissions", lambda: C.clean(analysis(spark, sf), cfg), cfg)
 
 
 def ranked(spark, sf):
@@ -105,12 +128,7 @@ def q_eligible_courses(spark, sf):
 
 @query("top_courses")
 def q_top_courses(spark, sf):
-    """The ten courses with most enrolled students (top-k report)."""
-    return (
-        W.course_enrollments(wh(spark, sf))
-        .orderBy(F.col("enrollments").desc(), F.col("course_canvas_id").asc())
-        .limit(10)
-    )
+    return W.ordered_by_count(W.course_enrollments(wh(spark, sf)), "enrollments")
 
 
 @query("submissions")
@@ -407,7 +425,6 @@ def q_grid_confint(spark, sf):
 
 # ---- sources and sinks ---------------------------------------------------------------
 from ..sources import csv_io  # noqa: E402
-from ..sources.tables import scratch_path  # noqa: E402
 
 
 @query("csv_scan")
@@ -417,7 +434,7 @@ def q_csv_scan(spark, sf):
     s = subs(spark, sf)
     path = scratch_path(s, "submissions_csv")
     csv_io.export_csv(s, path)
-    return csv_io.read_analysis_csv(spark, path)
+    return csv_io.read_analysis_csv(spark, path, multi_line=False)
 
 
 # ---- further cleaning views -----------------------------------------------------------
@@ -441,7 +458,7 @@ def q_course_invariants(spark, sf):
 def q_datetime_parse(spark, sf):
     """Timestamps rendered as text (as in the CSV extract) and parsed back."""
     s = subs(spark, sf)
-    fmt = "yyyy-MM-dd HH:mm:ss"
+    fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return s.select(
         "submission_id",
         parse_timestamp(F.date_format("submitted_at", fmt)).alias("submitted_at"),

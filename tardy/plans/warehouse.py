@@ -237,7 +237,6 @@ def submissions(wh: Warehouse, sis_only: bool = False, quiz_only: bool = False)
     ).distinct()
 
 
-def write_submissions_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Materialise the table (``CREATE TABLE AS`` equivalent), each file
-    sorted by due date with nulls last."""
-    df.sortWithinPartitions(F.col("due_date").asc_nulls_last()).write.mode(mode).parquet(path)
+def ordered_by_count(courses: DataFrame, count: str) -> DataFrame:
+    """All courses, the largest count first (then by id)."""
+    return courses.orderBy(F.col(count).desc_nulls_last(), F.col("course_canvas_id").asc_nulls_last())

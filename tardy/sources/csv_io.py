@@ -2,7 +2,7 @@
 
 The export follows PostgreSQL's ``COPY ... WITH CSV HEADER``: fields quoted
 with ``"`` when needed, quotes doubled, NULL as an empty unquoted field and
-timestamps as ``yyyy-MM-dd HH:mm:ss``. The reader takes every column as text
+timestamps with microseconds. The reader takes every column as text
 (no schema inference), turns the missing-value spellings pandas knows into
 NULL and casts to the declared types, so a malformed timestamp fails the
 job unless ``lenient`` is set.
@@ -14,11 +14,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import null_tokens, parse_timestamp
 
-TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
+TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 # Declared types of the analysis extract.
 ANALYSIS_TYPES = {
@@ -57,11 +56,14 @@ def read_csv(
     columns: Sequence[str] | None = None,
     types: dict[str, str] | None = None,
     lenient: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Read headed CSV, keep ``columns`` (in the file's order) and cast them."""
+    """Read headed CSV, keep ``columns`` (in the file's order) and cast them.
+    Line breaks inside fields keep a file from being split, each file is then
+    read by one task; ``multi_line=False`` reads files without them in splits."""
     raw = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "FAILFAST")
@@ -84,10 +86,6 @@ def read_csv(
     return raw.select(*out)
 
 
-def read_analysis_csv(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+def read_analysis_csv(spark: SparkSession, path: str, lenient: bool = False, multi_line: bool = True) -> DataFrame:
     """The analysis extract: the 11 columns of the submission table."""
-    return read_csv(spark, path, list(ANALYSIS_TYPES), ANALYSIS_TYPES, lenient=lenient)
-
-
-def schema_of(types: dict[str, str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T._parse_datatype_string(t)) for c, t in types.items()])
+    return read_csv(spark, path, list(ANALYSIS_TYPES), ANALYSIS_TYPES, lenient=lenient, multi_line=multi_line)

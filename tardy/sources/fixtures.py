@@ -200,16 +200,27 @@ def build_warehouse(spark: SparkSession, sf_dir: str, grain: DataFrame | None =
     )
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
+
+
+def source_version(spark: SparkSession, sf_dir: str) -> tuple:
+    """The folder and its files' paths, sizes and times of change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    files = []
+    while found.hasNext():
+        f = found.next()
+        files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sf_dir.rstrip("/"), tuple(sorted(files))
 
 
 def warehouse_tables(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """The derived warehouse, written once per session and data folder as
+    """The derived warehouse, written once per session and version of the data folder as
     Parquet under the checkpoint folder (a stand-in for the LMS warehouse's
     own tables), then read back by every query."""
     from .tables import scratch_path
 
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, source_version(spark, sf_dir))
     path = _WRITTEN.get(key)
     if path is None:
         from .tables import materialize
