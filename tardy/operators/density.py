@@ -25,6 +25,7 @@ def kde_grid(
     gridsize: int = 200,
     cut: float = 3.0,
     clip: tuple[float, float] | None = (0.0, 1.0),
+    few_curves: bool = False,
 ) -> DataFrame:
     """Gaussian KDE of ``value`` per group on an evenly spaced grid.
 
@@ -36,7 +37,9 @@ def kde_grid(
     Equal values of a curve are counted first. Each distinct value then meets
     the curve's ``gridsize`` points through an in-row ``sequence`` explode (not
     a pair join), weighted by its count; the sum per (curve, point) is combined
-    map-side, so a hot curve is reduced per task.
+    map-side, so a hot curve is reduced per task. ``few_curves``: the caller
+    knows that the keys have a handful of values; their statistics are then
+    broadcast, as shuffling on such keys would use a handful of tasks.
     """
     keys = list(keys)
     v = F.col(value)
@@ -60,6 +63,8 @@ def kde_grid(
     stats = stats.withColumn("_klo", lo).withColumn("_khi", hi).withColumn(
         "_kstep", (F.col("_khi") - F.col("_klo")) / F.lit(gridsize - 1)
     )
+    if few_curves:
+        stats = F.broadcast(stats)
     # numpy.linspace: start + i * step, the last point set to stop exactly
     x_at = F.when(F.col("grid_i") == gridsize - 1, F.col("_khi")).otherwise(
         F.col("grid_i") * F.col("_kstep") + F.col("_klo")
@@ -127,6 +132,16 @@ def auto_histogram(df: DataFrame, value: str) -> DataFrame:
     )
 
 
+def box_outliers(df: DataFrame, keys: Sequence[str], value: str, whis: float = 1.5) -> DataFrame:
+    """The rows beyond the whiskers: all columns, ``lo_limit`` and ``hi_limit``."""
+    keys = list(keys)
+    v = F.col(value)
+    q = group_quantiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75})
+    reach = (F.col("_q3") - F.col("_q1")) * whis
+    limits = q.select(*keys, (F.col("_q1") - reach).alias("lo_limit"), (F.col("_q3") + reach).alias("hi_limit"))
+    return df.join(limits, keys).where((v < F.col("lo_limit")) | (v > F.col("hi_limit")))
+
+
 def box_stats(df: DataFrame, keys: Sequence[str], value: str, whis: float = 1.5) -> DataFrame:
     """Box-plot statistics per group: quartiles (linear interpolation),
     whiskers at the furthest values within ``whis`` IQR, outlier count."""

@@ -67,10 +67,8 @@ def design_levels(sfs: DataFrame, keys: Sequence[str] = (), factors: Sequence[st
     others are dummy terms ``C(f)[T.level]`` numbered from 1 in formula order
     (0 is the intercept). The table has one row per level and model."""
     keys = list(keys)
-    parts = None
-    for pos, f in enumerate(factors):
-        p = sfs.select(*keys, F.lit(pos).alias("factor_pos"), F.lit(f).alias("factor"), F.col(f).alias("level")).distinct()
-        parts = p if parts is None else parts.unionByName(p)
+    arms = ", ".join(f"{pos}, '{f}', `{f}`" for pos, f in enumerate(factors))
+    parts = sfs.select(*keys, F.expr(f"stack({len(factors)}, {arms}) AS (factor_pos, factor, level)")).distinct()
     w = Window.partitionBy(*keys, "factor").orderBy("level")
     lv = parts.withColumn("level_no", F.row_number().over(w) - 1)
     terms = lv.where("level_no > 0")
@@ -78,6 +76,7 @@ def design_levels(sfs: DataFrame, keys: Sequence[str] = (), factors: Sequence[st
     terms = terms.withColumn("term_idx", F.row_number().over(wt)).select(*keys, "factor", "level", "term_idx")
     return lv.join(terms, [*keys, "factor", "level"], "left").select(
         *keys,
+        "factor_pos",
         "factor",
         "level",
         "level_no",
@@ -89,15 +88,16 @@ def design_levels(sfs: DataFrame, keys: Sequence[str] = (), factors: Sequence[st
 
 def with_active_terms(sfs: DataFrame, levels: DataFrame, keys: Sequence[str] = (), factors: Sequence[str] = COVARIATES) -> DataFrame:
     """Attach ``_active``: the term indices switched on for the row's pattern
-    (intercept always). The level tables are tiny (models x levels)."""
+    (intercept always). The level tables grow with the models: no broadcast
+    hint, adaptive execution decides from their sizes."""
     keys = list(keys)
     out = sfs
     for f in factors:
         lt = levels.where(F.col("factor") == f).select(*keys, F.col("level").alias(f), F.col("term_idx").alias(f"_t_{f}"))
-        out = out.join(F.broadcast(lt), [*keys, f], "left")
+        out = out.join(lt, [*keys, f], "left")
     act = F.filter(F.array(F.lit(0), *[F.col(f"_t_{f}") for f in factors]), lambda t: t.isNotNull())
     n_terms = levels.groupBy(*keys).agg((F.max(F.coalesce("term_idx", F.lit(0))) + 1).alias("_p"))
-    return out.withColumn("_active", act).drop(*[f"_t_{f}" for f in factors]).join(F.broadcast(n_terms), keys)
+    return out.withColumn("_active", act).drop(*[f"_t_{f}" for f in factors]).join(n_terms, keys)
 
 
 _SOLVE_COLS = [
@@ -224,7 +224,7 @@ def fit(
         F.array_sort(F.collect_list(F.struct(F.col("i").alias("i"), F.col("value").alias("v")))).alias("_b")
     )
     beta_at = lambda t: F.element_at(F.col("_b"), t + 1).getField("v")
-    res = act.join(F.broadcast(coefs), model_keys).withColumn(
+    res = act.join(coefs, model_keys).withColumn(
         "_fit", F.aggregate(F.transform("_active", beta_at), F.lit(0.0), lambda a, b: a + b)
     ).withColumn("_r", F.col("sy") - F.col("n") * F.col("_fit"))
     score = (

@@ -7,9 +7,10 @@ third of all rows would then be sorted by one task. The ``range`` strategy
 avoids that:
 
 1. ties are collapsed first: ``(group, value) -> n`` with map-side partial
-   aggregation, so a hot tie costs nothing;
-2. the distinct pairs are range partitioned on ``(group, value)``; Spark
-   samples the bounds, so a hot group is spread over many tasks;
+   aggregation, so a hot tie costs nothing; the pairs are written once;
+2. they are range partitioned on ``(group, value)`` into slices of at most
+   about ``SLICE_VALUES`` pairs, however many there are; Spark samples the
+   bounds, so a hot group is spread over many tasks;
 3. each task walks its sorted slice once (pandas, vectorised) and records,
    per distinct value, the count of smaller values of the same group inside
    the slice; the result is checkpointed so that partition ids stay fixed
@@ -25,6 +26,7 @@ tests check that both give identical results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,8 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
+from ..sources.tables import materialize
 
 STRATEGY_CONF = "tardy.rank.strategy"
+#: Distinct (group, value) pairs one task may hold.
+SLICE_VALUES = 1_000_000
 
 
 def _strategy(df: DataFrame, strategy: str | None) -> str:
@@ -62,8 +67,7 @@ def _local_pass(keys: list[str]):
         parts = [b for b in batches if len(b)]
         if not parts:
             return
-        # One range partition is a balanced slice (Spark sampled the bounds),
-        # so holding it is bounded by the partition size, not the group size.
+        # A slice has about SLICE_VALUES distinct pairs at most.
         pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
         grp = pdf.groupby(keys, sort=False, dropna=False)["_n"]
         csum = grp.cumsum()
@@ -83,6 +87,17 @@ def _local_pass(keys: list[str]):
     return run
 
 
+def is_timestamp(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName() in ("timestamp", "timestamp_ntz")
+
+
+def micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970 of a timestamp: pandas' own end in 1677 and 2262."""
+    ntz = df.schema[column].dataType.typeName() == "timestamp_ntz"
+    zero = "TIMESTAMP_NTZ'1970-01-01 00:00:00'" if ntz else "timestamp_micros(0)"
+    return F.expr(f"timestampdiff(MICROSECOND, {zero}, `{column}`)")
+
+
 def value_positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -116,7 +131,8 @@ def value_positions(
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vc = materialize(vc, "value_counts")
+    p = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(vc.count() / SLICE_VALUES))
     ranged = vc.repartitionByRange(p, *keys, value).sortWithinPartitions(*keys, value)
     out_schema = T.StructType(
         list(vc.schema.fields)
@@ -169,10 +185,8 @@ def average_rank(
             out = out.withColumn(pct_col, F.col(rank_col) / F.count(v).over(Window.partitionBy(*keys)))
         return out
 
-    if df.schema[value].dataType.typeName() in ("timestamp", "timestamp_ntz"):
-        # ranked as microseconds: pandas' timestamps end in 1677 and 2262
-        zero = "TIMESTAMP_NTZ'1970-01-01 00:00:00'" if df.schema[value].dataType.typeName() == "timestamp_ntz" else "timestamp_micros(0)"
-        with_micros = df.withColumn("_micros", F.expr(f"timestampdiff(MICROSECOND, {zero}, `{value}`)"))
+    if is_timestamp(df, value):
+        with_micros = df.withColumn("_micros", micros(df, value))
         return average_rank(with_micros, keys, "_micros", rank_col, pct_col, "range").drop("_micros")
 
     pos = value_positions(df, keys, value, strategy="range")

@@ -256,7 +256,7 @@ FROM bins LEFT JOIN cnt ON bins.bin = cnt.bin
 """, ("bin_lo", "bin_hi"))
 
 # ---- regression ---------------------------------------------------------------------
-sql("ols_suffstats", f"""
+SUFFSTATS = f"""
 SELECT course_id, CAST(gender AS VARCHAR) AS gender, CAST(is_a_urm AS VARCHAR) AS is_a_urm,
        CAST(first_gen_status AS VARCHAR) AS first_gen_status, CAST(ethnicity AS VARCHAR) AS ethnicity,
        count(*) AS n, sum({Y}) AS sy, sum({Y} * {Y}) AS syy
@@ -264,7 +264,8 @@ FROM c_student
 WHERE {Y} IS NOT NULL AND course_id IS NOT NULL AND gender IS NOT NULL AND is_a_urm IS NOT NULL
   AND first_gen_status IS NOT NULL AND ethnicity IS NOT NULL
 GROUP BY ALL
-""", ("sy", "syy"))
+"""
+sql("ols_suffstats", SUFFSTATS, ("sy", "syy"))
 _levels = f"""
 SELECT factor_pos, factor, level FROM (
   SELECT DISTINCT 0 AS factor_pos, 'gender' AS factor, CAST(gender AS VARCHAR) AS level FROM c_student s WHERE {{c}}
@@ -342,6 +343,26 @@ SELECT CAST(v.a_n AS INTEGER) AS a_n, CAST(v.s_n AS INTEGER) AS s_n, CAST(v.a_th
 FROM g_sfs sfs JOIN g_surv v ON sfs.a_thres = v.a_thres AND sfs.s_thres = v.s_thres AND sfs.course_id = v.course_id
 """)
 
+# regressions: solved in DuckDB too
+from . import regression as R  # noqa: E402
+
+TERM_DOUBLES = ("coef", "se", "z", "p", "ci_low", "ci_high")
+R.register("lr", "SELECT 0 AS mk, * FROM (" + SUFFSTATS + ") s0", ("mk",))
+sql("ols_coeffs", "SELECT * EXCLUDE (mk) FROM lr_terms", TERM_DOUBLES)
+sql("ols_cluster_cov", "SELECT * EXCLUDE (mk) FROM lr_cov", ("value",))
+sql("ols_pvalues", "SELECT term, round(p, 4) AS p FROM lr_terms")
+sql("ols_confint", "SELECT term, ci_low, ci_high FROM lr_terms", ("ci_low", "ci_high"))
+sql("ols_fit_stats", "SELECT * EXCLUDE (mk) FROM lr_stats", ("value",))
+R.register("gr", "SELECT v.a_n, v.s_n, g.* FROM g_sfs g JOIN g_surv v USING (a_thres, s_thres, course_id)", ("a_n", "s_n", "a_thres", "s_thres"))
+sql("grid_coeffs", """
+SELECT CAST(a_n AS INTEGER) AS a_n, CAST(s_n AS INTEGER) AS s_n, CAST(a_thres AS DOUBLE) AS a_thres, CAST(s_thres AS DOUBLE) AS s_thres,
+  * EXCLUDE (a_n, s_n, a_thres, s_thres) FROM gr_terms
+""", TERM_DOUBLES)
+WIDE = tuple(f'"{t}"' for t in R.TERMS)
+sql("grid_coeffs_wide", R.wide("gr", "coef"), WIDE)
+sql("grid_pvalues", R.wide("gr", "round(p, 4)"), WIDE)
+sql("grid_confint", R.wide("gr", "ci_low"), WIDE)
+
 sql("csv_scan", """
 SELECT course_id, course_name, assignment_id, due_date, submitted_at, user_id, gender, ethnicity, is_a_urm,
        first_gen_status, final_score FROM w_submissions
@@ -354,3 +375,19 @@ SELECT course_id, count(DISTINCT assignment_id) AS n_assignments_updated, count(
 FROM c_s3 WHERE course_id IS NOT NULL GROUP BY course_id
 """)
 sql("datetime_parse", "SELECT submission_id, submitted_at, due_date FROM w_submissions")
+
+sql("submissions_by_due_date", "SELECT * FROM w_submissions ORDER BY due_date NULLS LAST, submission_id", SUB_DOUBLES)
+sql("course_sizes", """
+SELECT course_id, count(DISTINCT assignment_id) AS n_assignments, count(DISTINCT user_id) AS n_students
+FROM c_s4 WHERE course_id IS NOT NULL GROUP BY course_id ORDER BY n_students, course_id
+""")
+sql("course_grade_box_outliers", f"""
+WITH g AS ({cte_grade}),
+long AS (SELECT course_id, unnest(['mean', 'median', 'std']) AS stat, unnest([fs_pct_mean, fs_pct_median, fs_pct_std]) AS value FROM g),
+q AS (SELECT stat, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM long WHERE value IS NOT NULL GROUP BY stat)
+SELECT course_id, stat, value, a - (b - a) * 1.5 AS lo_limit, b + (b - a) * 1.5 AS hi_limit FROM long JOIN q USING (stat)
+WHERE value < a - (b - a) * 1.5 OR value > b + (b - a) * 1.5
+""", ("value", "lo_limit", "hi_limit"))
+sql("export_csv", "SELECT id, submitted_at + to_microseconds(id % 1000000) AS submitted_at FROM submission_dim")
+SQL["clean_from_csv"] = SQL["ranks_submission_level"]
+SQL["students_from_csv"] = SQL["student_course_lvl"]

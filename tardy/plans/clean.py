@@ -10,11 +10,12 @@ course invariants. Every comparison is strict ``>``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CleanConfig
 from ..functions.scalars import ethnicity_remap
+from ..sources.tables import materialize
 
 # Columns of the analysis extract, in file order of the submission table.
 ANALYSIS_COLS = (
@@ -49,15 +50,23 @@ def course_filter(df: DataFrame) -> DataFrame:
     return df.where(F.col("course_id").isNotNull() & (m.isNull() | (m != 0)))
 
 
+def assignment_ratios(df: DataFrame) -> DataFrame:
+    """``assignment_id``, ``_ratio``: its distinct students over the course's.
+    An assignment that belongs to two courses fails the job: the study's ranks
+    and filters know one course for each."""
+    one_course = F.min("course_id").eqNullSafe(F.max("course_id"))
+    size = F.when(one_course, F.min("course_size")).otherwise(
+        F.raise_error(F.lit("an assignment belongs to more than one course"))
+    )
+    return df.where(F.col("assignment_id").isNotNull()).groupBy("assignment_id").agg(
+        (F.countDistinct("user_id") / size).alias("_ratio")
+    )
+
+
 def assignment_filter(df: DataFrame, a_thres: float) -> DataFrame:
     """Keep assignments submitted by more than ``a_thres`` of the course's
     (unfiltered) students."""
-    stats = (
-        df.where(F.col("assignment_id").isNotNull())
-        .groupBy("assignment_id")
-        .agg(F.countDistinct("user_id").alias("_nu"), F.min("course_size").alias("_cs"))
-    )
-    keep = stats.where(F.col("_nu") / F.col("_cs") > F.lit(float(a_thres))).select("assignment_id")
+    keep = assignment_ratios(df).where(F.col("_ratio") > F.lit(float(a_thres))).select("assignment_id")
     return df.join(keep, "assignment_id", "left_semi")
 
 
@@ -89,7 +98,8 @@ def course_invariants(df: DataFrame, a_n: int, s_n: int) -> DataFrame:
 
 
 def clean(df: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
-    """Full cleaning of an analysis frame (already typed)."""
+    """Full cleaning of an analysis frame (already typed). An assignment of
+    two courses fails the job."""
     out = with_course_stats(df)
     out = course_filter(out)
     out = assignment_filter(out, cfg.a_thres)
@@ -97,39 +107,69 @@ def clean(df: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     return course_invariants(out, cfg.a_n, cfg.s_n)
 
 
-def stage_frames(df: DataFrame, cfg: CleanConfig = CleanConfig()) -> list[tuple[str, DataFrame]]:
-    """The frame after each cleaning stage, for the audit."""
-    s0 = with_course_stats(df)
-    s1 = course_filter(s0)
-    s2 = assignment_filter(s1, cfg.a_thres)
-    s3 = student_filter(s2, cfg.s_thres)
-    s4 = course_invariants(s3, cfg.a_n, cfg.s_n)
-    return [("loaded", df), ("course_filter", s1), ("assignment_filter", s2), ("student_filter", s3), ("invariants", s4)]
+STAGES = ("loaded", "course_filter", "assignment_filter", "student_filter", "invariants")
+
+
+def stage_reached(df: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
+    """Distinct (course, user, assignment) with ``n`` rows and ``reached``: the
+    number of filters passed in a row. Every filter keeps or drops all rows of
+    such a triple, so the audit reads the submissions once."""
+    cells = materialize(
+        df.groupBy("course_id", "user_id", "assignment_id").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("final_score").alias("_s"), F.count("final_score").alias("_k")
+        ),
+        "audit_cells",
+    )
+    course = cells.where(F.col("course_id").isNotNull()).groupBy("course_id").agg(
+        F.countDistinct("user_id").alias("course_size"), F.expr("sum(_s) / nullif(sum(_k), 0)").alias("course_mean")
+    )
+    s1 = course_filter(cells.join(course, "course_id")).select("course_id", "user_id", "assignment_id", "course_size", "n")
+    s1 = materialize(s1.join(assignment_ratios(s1), "assignment_id", "left"), "audit_ratios")
+    s2 = s1.where(F.col("_ratio") > F.lit(float(cfg.a_thres)))
+    total = assignment_counts(s2)
+    per = s2.where(F.col("user_id").isNotNull()).groupBy("user_id", "course_id").agg(F.countDistinct("assignment_id").alias("_na"))
+    enough = F.col("_na") > F.floor(F.col("n_assignments") * F.lit(float(cfg.s_thres)))
+    students = materialize(per.join(total, "course_id").where(enough).select("user_id", "course_id", F.lit(1).alias("_p3")), "audit_students")
+    s3 = s2.join(students.drop("_p3"), ["user_id", "course_id"], "left_semi")
+    courses = course_invariant_counts(s3, cfg.a_n, cfg.s_n).where("kept").select("course_id", F.lit(1).alias("_p4"))
+    passed2 = F.coalesce(F.col("_ratio") > F.lit(float(cfg.a_thres)), F.lit(False))
+    tagged = s1.join(students, ["user_id", "course_id"], "left").join(courses, "course_id", "left").select(
+        "course_id", "user_id", "n",
+        F.when(~passed2, 1).when(F.col("_p3").isNull(), 2).when(F.col("_p4").isNull(), 3).otherwise(4).alias("reached"),
+    )
+    lost = cells.join(course_filter(course).select("course_id"), "course_id", "left_anti")
+    return tagged.unionByName(lost.select("course_id", "user_id", "n", F.lit(0).alias("reached")))
 
 
 def filter_audit(df: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     """Rows, (course, user) pairs and courses after every stage, and how many
     pairs/courses each stage removed. Pair counts skip null keys."""
-    parts = []
-    for i, (name, frame) in enumerate(stage_frames(df, cfg)):
-        parts.append(
-            frame.agg(
-                F.count(F.lit(1)).alias("rows"),
-                F.countDistinct("course_id", "user_id").alias("student_course_obs"),
-                F.countDistinct("course_id").alias("course_obs"),
-            ).select(F.lit(i).alias("stage_no"), F.lit(name).alias("stage"), "*")
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # five rows: a global window is fine here
-    w = Window.orderBy("stage_no")
-    return out.select(
-        "*",
-        (F.lag("student_course_obs").over(w) - F.col("student_course_obs")).alias("excluded_student_course"),
-        (F.lag("course_obs").over(w) - F.col("course_obs")).alias("excluded_courses"),
+    stages = range(len(STAGES))
+    at_least = [F.sum(F.when(F.col("reached") >= i, F.col("n"))).alias(f"_r{i}") for i in stages]
+    pairs = stage_reached(df, cfg).groupBy("course_id", "user_id").agg(F.max("reached").alias("_m"), *at_least)
+    known = F.col("course_id").isNotNull() & F.col("user_id").isNotNull()
+    courses = pairs.groupBy("course_id").agg(
+        F.max("_m").alias("_m"),
+        *[F.sum(f"_r{i}").alias(f"_r{i}") for i in stages],
+        *[F.count_if(known & (F.col("_m") >= i)).alias(f"_p{i}") for i in stages],
+    )
+    total = courses.agg(
+        *[F.coalesce(F.sum(f"_r{i}"), F.lit(0)).alias(f"_r{i}") for i in stages],
+        *[F.coalesce(F.sum(f"_p{i}"), F.lit(0)).alias(f"_p{i}") for i in stages],
+        *[F.count_if(F.col("course_id").isNotNull() & (F.col("_m") >= i)).alias(f"_c{i}") for i in stages],
     )
 
+    def line(i: int) -> F.Column:
+        before = F.lit(None).cast("long")
+        return F.struct(
+            F.lit(i).alias("stage_no"), F.lit(STAGES[i]).alias("stage"), F.col(f"_r{i}").alias("rows"),
+            F.col(f"_p{i}").alias("student_course_obs"), F.col(f"_c{i}").alias("course_obs"),
+            (F.col(f"_p{i - 1}") - F.col(f"_p{i}") if i else before).alias("excluded_student_course"),
+            (F.col(f"_c{i - 1}") - F.col(f"_c{i}") if i else before).alias("excluded_courses"),
+        )
+
+    return total.select(F.inline(F.array(*[line(i) for i in stages])))
+
 
 def course_invariant_counts(df: DataFrame, a_n: int, s_n: int) -> DataFrame:
     """Per course after the student filter: the recounted students and

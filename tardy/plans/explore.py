@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import BAND_HIGH, BAND_LOW, BAND_MID, KDE_LEVELS, MAIN_ETHNICITIES, RESPONSE, SAMPLE_SEED
 from ..functions.scalars import pick_key
-from ..operators.density import auto_histogram, box_stats, kde_grid
-from ..operators.ranking import group_quantiles, value_positions
+from ..operators.density import auto_histogram, box_outliers, box_stats, kde_grid
+from ..operators.ranking import group_quantiles, micros, value_positions
 
 FS_PCT = "final_score_percentile_ranks"
 DIMENSIONS = ("gender", "first_gen_status", "ethnicity")
@@ -95,10 +95,11 @@ def student_time_series(ranked: DataFrame, seed: int = SAMPLE_SEED) -> DataFrame
     first = rows.groupBy("band", "user_id", "due_date").agg(
         F.min(F.struct("submitted_at", "assignment_id", "assignment_percentile_ranks", "course_id")).alias("_f")
     )
-    pos = value_positions(first, ["band", "user_id"], "due_date").select("band", "user_id", "due_date", "_below", "_total")
+    first = first.withColumn("_due", micros(first, "due_date"))
+    pos = value_positions(first, ["band", "user_id"], "_due").select("band", "user_id", "_due", "_below")
     n_dated = first.groupBy("band", "user_id").agg(F.count("due_date").alias("_nd"))
     seq = (
-        first.join(pos, ["band", "user_id", "due_date"], "left")
+        first.join(pos, ["band", "user_id", "_due"], "left")
         .join(n_dated, ["band", "user_id"])
         .withColumn("seq", F.coalesce(F.col("_below"), F.col("_nd")).cast("int"))
     )
@@ -112,7 +113,7 @@ def student_time_series(ranked: DataFrame, seed: int = SAMPLE_SEED) -> DataFrame
         F.col("_f.assignment_id").alias("assignment_id"),
         F.col("_f.course_id").alias("course_id"),
         F.col("_f.assignment_percentile_ranks").alias("assignment_percentile_ranks"),
-    )
+    ).orderBy("band", "seq")
 
 
 def course_counts(df: DataFrame) -> DataFrame:
@@ -122,6 +123,11 @@ def course_counts(df: DataFrame) -> DataFrame:
     )
 
 
+def course_sizes(df: DataFrame, by: str = "n_students") -> DataFrame:
+    """All courses with their counts, the smallest ``by`` first (then by id)."""
+    return course_counts(df).orderBy(by, "course_id")
+
+
 def course_counts_check(df: DataFrame) -> DataFrame:
     """Number of courses, of courses with < 20 students and with < 5 assignments."""
     c = course_counts(df)
@@ -136,7 +142,7 @@ def kde_by(df: DataFrame, dimension: str, value: str = RESPONSE) -> DataFrame:
     """Density curves of ``value`` for the plotted levels of one dimension."""
     levels = KDE_LEVELS[dimension]
     d = df.where(F.col(dimension).isin(*levels)).select(F.col(dimension).alias("level"), value)
-    return kde_grid(d, ["level"], value).select(F.lit(dimension).alias("dimension"), "*")
+    return kde_grid(d, ["level"], value, few_curves=True).select(F.lit(dimension).alias("dimension"), "*")
 
 
 def course_density_matrix(df: DataFrame, value: str = RESPONSE) -> DataFrame:
@@ -152,11 +158,17 @@ def course_density_matrix(df: DataFrame, value: str = RESPONSE) -> DataFrame:
 def course_grade_box(student: DataFrame) -> DataFrame:
     """Box statistics of the per-course mean, median and std of the
     final-score percentile rank."""
-    g = course_grade_stats(student)
-    long = g.select(
-        F.expr("stack(3, 'mean', fs_pct_mean, 'median', fs_pct_median, 'std', fs_pct_std) AS (stat, value)")
-    ).where(F.col("value").isNotNull())
-    return box_stats(long, ["stat"], "value")
+    return box_stats(_grade_long(student), ["stat"], "value")
+
+
+def _grade_long(student: DataFrame) -> DataFrame:
+    arms = "'mean', fs_pct_mean, 'median', fs_pct_median, 'std', fs_pct_std"
+    return course_grade_stats(student).select("course_id", F.expr(f"stack(3, {arms}) AS (stat, value)")).where("value IS NOT NULL")
+
+
+def course_grade_box_outliers(student: DataFrame) -> DataFrame:
+    """The courses beyond the whiskers of each box, lowest value first."""
+    return box_outliers(_grade_long(student), ["stat"], "value").orderBy("stat", "value", "course_id")
 
 
 def course_grade_hist(student: DataFrame) -> DataFrame:

@@ -3,13 +3,14 @@
 Sharing (instead of 108 re-reads and re-cleanings):
 
 * course stats and the course filter do not depend on the configuration;
-* the assignment ratio is computed once; each row is expanded in place to
-  the ``a_thres`` values it passes (``explode(filter(array, ...))`` -- no
-  join), then each student-course to the ``s_thres`` values it passes, so at
-  most 9 copies of a row exist;
-* ranks depend on (a_thres, s_thres) but not on (a_n, s_n): the invariants
-  remove whole courses and ranks are taken inside assignments of one course
-  (checked: an assignment in two courses makes the grid fail);
+* a row carries its assignment's ratio and the (a_thres, s_thres) pairs that
+  its student-course passes, as a small array. Rows are never copied: they are
+  projected to the columns the regression reads and written once;
+* ranks depend on the pair but not on (a_n, s_n): the invariants remove whole
+  courses and ranks are taken inside assignments of one course. Distinct
+  (pair, assignment, time) counts are ranked, and come back to the rows as one
+  array of percentiles per (assignment, time);
+* the pairs become rows only at (student, course), after the mean;
 * (a_n, s_n) act on the course-level counts only; the regression input is
   reduced to sufficient statistics per (a_thres, s_thres, course, pattern)
   before being expanded to the 12 (a_n, s_n) pairs.
@@ -19,34 +20,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COVARIATES, GRID_A_N, GRID_A_THRES, GRID_S_N, GRID_S_THRES, RESPONSE
 from ..operators import ols
+from ..operators.ranking import micros, value_positions
+from ..sources.csv_io import export_csv
 from ..sources.tables import materialize
-from . import scores as S
+from .clean import assignment_ratios
 
 CFG = ["a_n", "s_n", "a_thres", "s_thres"]
 TS = ["a_thres", "s_thres"]
+NEEDED = ("course_id", "assignment_id", "user_id", "due_date", "submitted_at", *COVARIATES)
 
 
-def check_one_course_per_assignment(s1: DataFrame) -> None:
-    """Fail loudly if an assignment id appears in more than one course."""
-    bad = (
-        s1.where(F.col("assignment_id").isNotNull())
-        .groupBy("assignment_id")
-        .agg(F.countDistinct("course_id").alias("k"))
-        .where("k > 1")
-        .limit(1)
-        .count()
-    )
-    if bad:
-        raise ValueError("an assignment belongs to more than one course; the shared grid plan needs one course each")
+def _pair_array(a_thres: Sequence[float], s_thres: Sequence[float]) -> list[tuple[int, float, float]]:
+    return [(i, float(a), float(s)) for i, (a, s) in enumerate((a, s) for a in a_thres for s in s_thres)]
 
 
-def _passed(values: Sequence[float], test) -> F.Column:
-    return F.explode(F.filter(F.array(*[F.lit(float(v)) for v in values]), test))
+def _of_pair(pairs: list[tuple[int, float, float]], k: Column) -> list[Column]:
+    """The thresholds of pair number ``k``."""
+    return [F.element_at(F.array(*[F.lit(p[at]) for p in pairs]), k + 1).alias(name) for at, name in ((1, "a_thres"), (2, "s_thres"))]
 
 
 def grid_frames(
@@ -55,43 +50,62 @@ def grid_frames(
     s_thres: Sequence[float] = GRID_S_THRES,
     a_n: Sequence[int] = GRID_A_N,
     s_n: Sequence[int] = GRID_S_N,
-) -> dict[str, DataFrame]:
-    """``s1``: rows after course stats and the course filter. Returns the
-    per-threshold frames: s2 (a_thres), s3 (a_thres, s_thres), course counts
-    and the surviving (config, course) pairs."""
-    ratio = (
-        s1.where(F.col("assignment_id").isNotNull())
-        .groupBy("assignment_id")
-        .agg((F.countDistinct("user_id") / F.min("course_size")).alias("_ratio"))
+) -> dict:
+    """``s1``: rows after course stats and the course filter. Returns ``pairs``
+    (the numbered threshold pairs), ``rows`` (rows that pass a pair at least,
+    with ``_ratio`` and ``_pairs``), ``cells`` (rows per student and assignment),
+    the course counts and the surviving (config, course) pairs."""
+    pairs = _pair_array(a_thres, s_thres)
+    lowest = min(float(a) for a in a_thres)
+    with_ratio = s1.select(*NEEDED, "course_size").join(
+        assignment_ratios(s1.select("assignment_id", "user_id", "course_id", "course_size")).where(F.col("_ratio") > lowest), "assignment_id"
+    ).drop("course_size")
+    # One narrow row per (course, student, assignment) decides all filters.
+    cells = materialize(
+        with_ratio.groupBy("course_id", "user_id", "assignment_id", "_ratio").agg(F.count(F.lit(1)).alias("n")), "grid_cells"
+    )
+    above = {a: F.count_if(F.col("_ratio") > a) for a in dict.fromkeys(p[1] for p in pairs)}
+    of_course = cells.select("course_id", "assignment_id", "_ratio").distinct().groupBy("course_id").agg(
+        *[n.alias(f"_nc{i}") for i, n in enumerate(above.values())]
     )
-    keep_a = ratio.select("assignment_id", _passed(a_thres, lambda t: F.col("_ratio") > t).alias("a_thres"))
-    s2 = s1.join(keep_a, "assignment_id")
-    nas = s2.groupBy("a_thres", "course_id").agg(F.countDistinct("assignment_id").alias("n_assignments"))
-    s2n = s2.join(nas, ["a_thres", "course_id"], "left")
-    per = (
-        s2n.where(F.col("user_id").isNotNull())
-        .groupBy("a_thres", "user_id", "course_id")
-        .agg(F.countDistinct("assignment_id").alias("_na"), F.max("n_assignments").alias("_nc"))
+    of_student = cells.where(F.col("user_id").isNotNull()).groupBy("user_id", "course_id").agg(
+        *[n.alias(f"_na{i}") for i, n in enumerate(above.values())]
     )
-    keep_s = per.select(
-        "a_thres", "user_id", "course_id",
-        _passed(s_thres, lambda t: F.col("_na") > F.floor(F.col("_nc") * t)).alias("s_thres"),
+    number = {a: i for i, a in enumerate(above)}
+    passed = F.array(*[
+        F.when(F.col(f"_na{number[a]}") > F.floor(F.col(f"_nc{number[a]}") * s), F.struct(F.lit(k).alias("k"), F.lit(a).alias("a")))
+        for k, a, s in pairs
+    ])
+    student_pairs = materialize(
+        of_student.join(of_course, "course_id")
+        .select("user_id", "course_id", F.filter(passed, lambda p: p.isNotNull()).alias("_of_student"))
+        .where(F.size("_of_student") > 0),
+        "grid_student_pairs",
+    )
+    own = F.transform(F.filter("_of_student", lambda p: F.col("_ratio") > p["a"]), lambda p: p["k"]).alias("_pairs")
+
+    def passing(table: DataFrame) -> DataFrame:
+        kept = [c for c in table.columns if c != "_pairs"]
+        return table.join(student_pairs, ["user_id", "course_id"]).select(*kept, own).where(F.size("_pairs") > 0)
+
+    rows = materialize(passing(with_ratio), "grid_rows")
+    cc = (
+        passing(cells)
+        .select("course_id", "user_id", "assignment_id", "n", F.explode("_pairs").alias("_k"))
+        .groupBy("_k", "course_id")
+        .agg(
+            F.countDistinct("assignment_id").alias("n_assignments_updated"),
+            F.countDistinct("user_id").alias("n_students_updated"),
+            F.sum("n").alias("n_rows"),
+        )
     )
-    # read by the course counts, the audit and the ranks: written once
-    s3 = materialize(s2n.join(keep_s, ["a_thres", "user_id", "course_id"]), "grid_s3")
-    cc = s3.groupBy(*TS, "course_id").agg(
-        F.countDistinct("assignment_id").alias("n_assignments_updated"),
-        F.countDistinct("user_id").alias("n_students_updated"),
-        F.count(F.lit(1)).alias("n_rows"),
+    cc = materialize(cc.select(*_of_pair(pairs, F.col("_k")), *[c for c in cc.columns if c != "_k"]), "grid_course_counts")
+    limits = F.array(*[F.struct(F.lit(x).alias("a_n"), F.lit(y).alias("s_n")) for x in a_n for y in s_n])
+    ok = F.filter(limits, lambda c: (F.col("n_students_updated") > c["s_n"]) & (F.col("n_assignments_updated") > c["a_n"]))
+    surv = cc.select(*TS, "course_id", "n_rows", "n_students_updated", F.explode(ok).alias("c")).select(
+        F.col("c.a_n").alias("a_n"), F.col("c.s_n").alias("s_n"), *TS, "course_id", "n_rows", "n_students_updated"
     )
-    pairs = F.array(*[F.struct(F.lit(x).alias("a_n"), F.lit(y).alias("s_n")) for x in a_n for y in s_n])
-    surv = cc.select(
-        *TS, "course_id", "n_rows", "n_students_updated", "n_assignments_updated",
-        F.explode(
-            F.filter(pairs, lambda c: (F.col("n_students_updated") > c["s_n"]) & (F.col("n_assignments_updated") > c["a_n"]))
-        ).alias("c"),
-    ).select(F.col("c.a_n").alias("a_n"), F.col("c.s_n").alias("s_n"), *TS, "course_id", "n_rows", "n_students_updated")
-    return {"s2": s2, "s3": s3, "course_counts": cc, "survivors": surv}
+    return {"pairs": pairs, "rows": rows, "cells": cells, "course_counts": cc, "survivors": surv}
 
 
 def config_table(spark, a_n=GRID_A_N, s_n=GRID_S_N, a_thres=GRID_A_THRES, s_thres=GRID_S_THRES) -> DataFrame:
@@ -100,54 +114,98 @@ def config_table(spark, a_n=GRID_A_N, s_n=GRID_S_N, a_thres=GRID_A_THRES, s_thre
     return spark.createDataFrame(rows, "a_n int, s_n int, a_thres double, s_thres double")
 
 
-def grid_survivors(s1: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
+def grid_survivors(s1: DataFrame, frames: dict) -> DataFrame:
     """Per configuration: rows after each filter, surviving courses and
     student-course pairs (configurations that keep nothing give zeros)."""
-    spark = s1.sparkSession
-    n1 = s1.agg(F.count(F.lit(1)).alias("rows_course_filter"))
-    n2 = frames["s2"].groupBy("a_thres").agg(F.count(F.lit(1)).alias("rows_assignment_filter"))
-    n3 = frames["s3"].groupBy(*TS).agg(F.count(F.lit(1)).alias("rows_student_filter"))
+    pairs = frames["pairs"]
+    thresholds = list(dict.fromkeys(p[1] for p in pairs))
+    n_all = s1.agg(F.count(F.lit(1)).alias("rows_course_filter"))
+    first = F.array(*[F.lit(a) for a in thresholds])
+    n1 = n_all.select("rows_course_filter", F.explode(first).alias("a_thres"))  # a row per threshold
+    above = [F.sum(F.when(F.col("_ratio") > a, F.col("n"))) for a in thresholds]
+    n2 = frames["cells"].agg(
+        F.array(*[F.struct(F.lit(a).alias("a_thres"), n.alias("rows_assignment_filter")) for a, n in zip(thresholds, above, strict=True)]).alias("x")
+    ).select(F.inline("x"))
+    n3 = frames["course_counts"].groupBy(*TS).agg(F.sum("n_rows").alias("rows_student_filter"))
     n4 = frames["survivors"].groupBy(*CFG).agg(
         F.sum("n_rows").alias("rows_final"),
         F.count(F.lit(1)).alias("n_courses"),
         F.sum("n_students_updated").alias("n_student_courses"),
     )
+    counted = ("rows_assignment_filter", "rows_student_filter", "rows_final", "n_courses", "n_student_courses")
     return (
-        config_table(spark)
-        .crossJoin(n1)  # one row
+        config_table(s1.sparkSession)
+        .join(n1, "a_thres")
         .join(n2, "a_thres", "left")
         .join(n3, TS, "left")
         .join(n4, CFG, "left")
+        .select(*CFG, "rows_course_filter", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counted])
+    )
+
+
+def _percentiles(rows: DataFrame) -> DataFrame:
+    """``assignment_id``, ``_at``, ``_pct``: the percentile rank of a time among
+    the assignment's submissions that pass a pair, by pair number."""
+    times = rows.select("assignment_id", "_at", F.explode("_pairs").alias("_k"))
+    pos = value_positions(times, ["_k", "assignment_id"], "_at", strategy="range")
+    pct = (F.col("_below") + (F.col("_n") + 1) / 2.0) / F.col("_total")
+    return pos.groupBy("assignment_id", "_at").agg(F.map_from_entries(F.collect_list(F.struct("_k", pct))).alias("_pct"))
+
+
+def student_responses(frames: dict) -> DataFrame:
+    """Per pair and (student, course): the mean percentile rank and the
+    covariates of the first row (by due date, submission, assignment)."""
+    pairs = frames["pairs"]
+    rows = frames["rows"]
+    rows = rows.withColumn("_at", micros(rows, "submitted_at"))
+    ranked = rows.join(_percentiles(rows), ["assignment_id", "_at"], "left")
+    order = F.struct(
+        F.col("due_date").isNull().alias("_dn"), "due_date", "submitted_at", "assignment_id",
+        F.struct("ethnicity", *[c for c in COVARIATES if c != "ethnicity"]).alias("_x"),
+    )
+    # A pair's rows of a (student, course) depend on a_thres, its ranks on both.
+    first_of = {a: F.min(F.when(F.col("_ratio") > a, order)) for a in dict.fromkeys(p[1] for p in pairs)}
+    number = {a: i for i, a in enumerate(first_of)}
+    per = ranked.groupBy("user_id", "course_id").agg(
+        F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs"),
+        F.array(*[F.avg(F.element_at("_pct", k)) for k in (F.lit(p[0]) for p in pairs)]).alias("_y"),
+        F.array(*first_of.values()).alias("_first"),
+    )
+    firsts = F.element_at(F.array(*[F.lit(number[p[1]]) for p in pairs]), F.col("_k") + 1)
+    return (
+        per.select("user_id", "course_id", "_y", "_first", F.explode("_pairs").alias("_k"))
+        .select("*", F.element_at("_first", firsts + 1).alias("_f"))
         .select(
-            *CFG,
-            "rows_course_filter",
-            F.coalesce("rows_assignment_filter", F.lit(0)).alias("rows_assignment_filter"),
-            F.coalesce("rows_student_filter", F.lit(0)).alias("rows_student_filter"),
-            F.coalesce("rows_final", F.lit(0)).cast("long").alias("rows_final"),
-            F.coalesce("n_courses", F.lit(0)).cast("long").alias("n_courses"),
-            F.coalesce("n_student_courses", F.lit(0)).cast("long").alias("n_student_courses"),
+            *_of_pair(pairs, F.col("_k")), "user_id", "course_id", F.element_at("_y", F.col("_k") + 1).alias(RESPONSE),
+            *[F.col(f"_f._x.{c}").alias(c) for c in COVARIATES],
         )
     )
 
 
-def grid_suffstats(frames: dict[str, DataFrame], strategy: str | None = None) -> DataFrame:
+def grid_suffstats(frames: dict) -> DataFrame:
     """Regression sufficient statistics per (config, course, pattern)."""
-    ranked = S.add_assignment_ranks(frames["s3"], extra_keys=TS, strategy=strategy)
-    keys = [*TS, "user_id", "course_id"]
-    # mean percentile rank and first-row demographics in one aggregate
-    student = S.first_rows(ranked, extra_keys=TS, extra_aggs=[F.avg(S.PCT).alias(RESPONSE)]).select(
-        *keys, RESPONSE, *COVARIATES
-    )
-    sfs = ols.suffstats(student, TS)
+    sfs = ols.suffstats(student_responses(frames), TS)
     surv = frames["survivors"].select(*CFG, "course_id")
     return sfs.join(surv, [*TS, "course_id"]).select(*CFG, "course_id", *COVARIATES, "n", "sy", "syy")
 
 
-def grid_fit(frames: dict[str, DataFrame], strategy: str | None = None) -> dict[str, DataFrame]:
-    sfs = grid_suffstats(frames, strategy)
-    return ols.fit(None, keys=CFG, sfs=sfs)
+def grid_fit(frames: dict) -> dict[str, DataFrame]:
+    return ols.fit(None, keys=CFG, sfs=grid_suffstats(frames))
+
+
+def wide(fit: dict[str, DataFrame], value: str) -> DataFrame:
+    """One row per configuration, one column per term (the study's layout).
+    The terms are known from the levels: a handful of names."""
+    named = fit["levels"].where(F.col("term").isNotNull()).groupBy("factor_pos", "level", "term").agg(F.lit(1).alias("_"))
+    terms = [ols.INTERCEPT, *[r["term"] for r in named.orderBy("factor_pos", "level").collect()]]
+    return fit["terms"].groupBy(*CFG).pivot("term", terms).agg(F.first(value))
 
 
-def wide(terms: DataFrame, value: str) -> DataFrame:
-    """One row per configuration, one column per term (the study's CSV layout)."""
-    return terms.groupBy(*CFG).pivot("term").agg(F.first(value))
+def write_results(fit: dict[str, DataFrame], path: str) -> None:
+    """The study's three result files, as CSV folders: coefficients, p-values
+    (4 places) and lower 95 % bounds, thresholds first."""
+    for name, value in (("coeffs", "coef"), ("pvalues", "p"), ("conf_int", "ci_low")):
+        table = wide(fit, value)
+        if value == "p":
+            table = table.select(*CFG, *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in table.columns if c not in CFG])
+        export_csv(table.orderBy(*CFG), f"{path.rstrip('/')}/{name}")

@@ -15,9 +15,10 @@ from pyspark.sql import types as T
 
 from ..config import CleanConfig
 from ..sources.fixtures import source_version, warehouse_tables
-from ..sources.tables import materialize, scratch_path
+from ..sources.tables import scratch_path
 from . import clean as C
 from . import scores as S
+from . import study
 from . import warehouse as W
 
 DIGITS = 8
@@ -63,10 +64,10 @@ def stage(spark, sf, name, build, *config):
 
 def forget_stages(spark: SparkSession) -> None:
     """Delete the stage tables this session has written."""
-    own = [k for k in _STAGES if k[0] == spark.sparkContext.applicationId]
-    for key in own:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop(key))
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for written in (_STAGES, _EXPORTS):
+        for key in [k for k in written if k[0] == spark.sparkContext.applicationId]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(written.pop(key))
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def subs(spark, sf):
@@ -83,11 +84,11 @@ def cleaned(spark, sf, cfg: CleanConfig = CleanConfig()):
 
 
 def ranked(spark, sf):
-    return S.add_assignment_ranks(cleaned(spark, sf))
+    return stage(spark, sf, "ranked", lambda: S.add_assignment_ranks(cleaned(spark, sf)))
 
 
 def student(spark, sf):
-    return S.student_course_level(ranked(spark, sf))
+    return stage(spark, sf, "student_course", lambda: S.student_course_level(ranked(spark, sf)))
 
 
 # ---- warehouse ---------------------------------------------------------------
@@ -149,17 +150,12 @@ def q_submissions_quiz_only(spark, sf):
 @query("sql_query")
 def q_sql_query(spark, sf):
     """A SQL text run by Spark SQL over the warehouse registered as views."""
-    w = wh(spark, sf)
-    w.register()
-    return spark.sql(
-        """
-        SELECT cd.id AS course_canvas_id, count(DISTINCT ad.id) AS assignments
-        FROM assignment_dim ad LEFT JOIN course_dim cd ON cd.id = ad.course_id
-        WHERE ad.submission_types != 'none' AND ad.grading_type != 'not_graded'
-          AND ad.workflow_state = 'published'
-        GROUP BY cd.id
-        """
-    )
+    return W.query(wh(spark, sf), "SELECT course_canvas_id, assignments FROM course_assignments")
+
+
+@query("submissions_by_due_date")
+def q_submissions_by_due_date(spark, sf):
+    return W.ordered_by_due_date(subs(spark, sf))
 
 
 # ---- cleaning ------------------------------------------------------------------
@@ -309,6 +305,11 @@ def q_course_counts_check(spark, sf):
     return X.course_counts_check(cleaned(spark, sf))
 
 
+@query("course_sizes")
+def q_course_sizes(spark, sf):
+    return X.course_sizes(cleaned(spark, sf))
+
+
 @query("kde_by_gender")
 def q_kde_by_gender(spark, sf):
     return X.kde_by(scored(spark, sf), "gender")
@@ -334,6 +335,11 @@ def q_course_grade_box(spark, sf):
     return X.course_grade_box(student(spark, sf))
 
 
+@query("course_grade_box_outliers")
+def q_course_grade_box_outliers(spark, sf):
+    return X.course_grade_box_outliers(student(spark, sf))
+
+
 @query("course_grade_hist")
 def q_course_grade_hist(spark, sf):
     return X.course_grade_hist(student(spark, sf))
@@ -344,15 +350,30 @@ from ..operators import ols as O  # noqa: E402
 from . import grid as G  # noqa: E402
 
 
+def fitted(spark, sf, name, build):
+    """The tables of a fit, each written once; ``build`` runs if one is missing."""
+    made: dict = {}
+
+    def part(table):
+        made.update({} if made else build())
+        return made[table]
+
+    return {t: stage(spark, sf, f"{name}_{t}", lambda t=t: part(t)) for t in ("terms", "cov", "fit_stats", "levels")}
+
+
 def default_fit(spark, sf):
-    return O.fit(student(spark, sf))
+    return fitted(spark, sf, "ols", lambda: O.fit(student(spark, sf)))
 
 
 def grid_fit(spark, sf):
-    s1 = materialize(C.course_filter(C.with_course_stats(analysis(spark, sf))), "course_filtered")
-    G.check_one_course_per_assignment(s1)
-    frames = G.grid_frames(s1)
-    return s1, frames
+    needed = [*G.NEEDED, "course_size"]
+    build = lambda: C.course_filter(C.with_course_stats(analysis(spark, sf))).select(*needed)
+    s1 = stage(spark, sf, "course_filtered", build)
+    return s1, G.grid_frames(s1)
+
+
+def grid_fitted(spark, sf):
+    return fitted(spark, sf, "grid", lambda: G.grid_fit(grid_fit(spark, sf)[1]))
 
 
 @query("ols_suffstats")
@@ -362,7 +383,7 @@ def q_ols_suffstats(spark, sf):
 
 @query("design_levels")
 def q_design_levels(spark, sf):
-    return O.design_levels(O.suffstats(student(spark, sf)))
+    return O.design_levels(O.suffstats(student(spark, sf))).drop("factor_pos")
 
 
 @query("ols_coeffs")
@@ -404,37 +425,73 @@ def q_grid_suffstats(spark, sf):
 
 @query("grid_coeffs")
 def q_grid_coeffs(spark, sf):
-    _, frames = grid_fit(spark, sf)
-    return G.grid_fit(frames)["terms"]
+    return grid_fitted(spark, sf)["terms"]
+
+
+@query("grid_coeffs_wide")
+def q_grid_coeffs_wide(spark, sf):
+    """Wide table: one row per configuration, coefficients per term."""
+    return G.wide(grid_fitted(spark, sf), "coef")
 
 
 @query("grid_pvalues")
 def q_grid_pvalues(spark, sf):
     """Wide table: one row per configuration, p-values (4 places) per term."""
-    _, frames = grid_fit(spark, sf)
-    t = G.grid_fit(frames)["terms"].withColumn("p", F.round("p", 4))
-    return G.wide(t, "p")
+    f = grid_fitted(spark, sf)
+    return G.wide({**f, "terms": f["terms"].withColumn("p", F.round("p", 4))}, "p")
 
 
 @query("grid_confint")
 def q_grid_confint(spark, sf):
     """Wide table of the lower 95 % bounds (the study's stored interval)."""
-    _, frames = grid_fit(spark, sf)
-    return G.wide(G.grid_fit(frames)["terms"], "ci_low")
+    return G.wide(grid_fitted(spark, sf), "ci_low")
 
 
 # ---- sources and sinks ---------------------------------------------------------------
 from ..sources import csv_io  # noqa: E402
 
 
+_EXPORTS: dict[tuple, str] = {}
+
+
+def exported(spark, sf):
+    """The submission table as CSV, written once."""
+    key = (spark.sparkContext.applicationId, source_version(spark, sf))
+    if key not in _EXPORTS:
+        s = subs(spark, sf)
+        path = scratch_path(s, "submissions_csv")
+        csv_io.export_csv(s, path)
+        _EXPORTS[key] = path
+    return _EXPORTS[key]
+
+
 @query("csv_scan")
 def q_csv_scan(spark, sf):
     """Round trip: the submission table exported as CSV, read back as the
     11-column analysis extract (text -> typed, null tokens)."""
-    s = subs(spark, sf)
-    path = scratch_path(s, "submissions_csv")
-    csv_io.export_csv(s, path)
-    return csv_io.read_analysis_csv(spark, path, multi_line=False)
+    return csv_io.read_analysis_csv(spark, exported(spark, sf))
+
+
+@query("export_csv")
+def q_export_csv(spark, sf):
+    """Round trip of timestamps with microseconds through a CSV export."""
+    W.query(wh(spark, sf), "SELECT 1")  # registers the views
+    path = scratch_path(subs(spark, sf), "query_csv")
+    csv_io.query_to_csv(
+        spark, "SELECT id, timestampadd(MICROSECOND, cast(id % 1000000 AS int), submitted_at) AS submitted_at FROM submission_dim", path
+    )
+    return csv_io.read_csv(spark, path, types={"id": "long", "submitted_at": "timestamp_ntz"})
+
+
+@query("clean_from_csv")
+def q_clean_from_csv(spark, sf):
+    """The cleaned, ranked and scored rows of a run that starts from a CSV file."""
+    return study.from_csv(spark, exported(spark, sf)).submissions
+
+
+@query("students_from_csv")
+def q_students_from_csv(spark, sf):
+    return study.from_csv(spark, exported(spark, sf)).students
 
 
 # ---- further cleaning views -----------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import average_rank, group_median
+from ..operators.ranking import average_rank
 
 PCT = "assignment_percentile_ranks"
 SCORE_COLS = (
@@ -31,23 +31,29 @@ def add_assignment_ranks(df: DataFrame, extra_keys: Sequence[str] = (), strategy
     )
 
 
-def procrastination_scores(ranked: DataFrame, extra_keys: Sequence[str] = (), strategy: str | None = None) -> DataFrame:
-    """Per (user, course): mean raw rank and mean / median / variance / std of
-    the percentile ranks (sample variance, null for a single value)."""
-    keys = [*extra_keys, "user_id", "course_id"]
-    agg = ranked.where(F.col("user_id").isNotNull() & F.col("course_id").isNotNull()).groupBy(*keys).agg(
+def _score_aggs() -> list:
+    # The native median counts a group's distinct values in one buffer: a
+    # (user, course) has one value per assignment of the course at most.
+    return [
         F.avg("assignment_ranks").alias("mean_rank"),
         F.avg(PCT).alias("procrastination_mean_rank"),
+        F.median(PCT).alias("procrastination_median_rank"),
         F.var_samp(PCT).alias("procrastination_var_rank"),
         F.stddev_samp(PCT).alias("procrastination_std_rank"),
-    )
-    med = group_median(ranked, keys, PCT, "procrastination_median_rank", strategy=strategy)
-    return agg.join(med, keys, "left").select(*keys, *SCORE_COLS)
+    ]
 
 
-def with_scores(ranked: DataFrame, strategy: str | None = None) -> DataFrame:
+def procrastination_scores(ranked: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
+    """Per (user, course): mean raw rank and mean / median / variance / std of
+    the percentile ranks (sample variance, null for a single value)."""
+    keys = [*extra_keys, "user_id", "course_id"]
+    rows = ranked.where(F.col("user_id").isNotNull() & F.col("course_id").isNotNull())
+    return rows.groupBy(*keys).agg(*_score_aggs()).select(*keys, *SCORE_COLS)
+
+
+def with_scores(ranked: DataFrame) -> DataFrame:
     """Submission-level rows with the five per-(user, course) scores joined back."""
-    return ranked.join(procrastination_scores(ranked, strategy=strategy), ["user_id", "course_id"], "left")
+    return ranked.join(procrastination_scores(ranked), ["user_id", "course_id"], "left")
 
 
 def first_rows(ranked: DataFrame, extra_keys: Sequence[str] = (), extra_aggs: Sequence = ()) -> DataFrame:
@@ -72,18 +78,9 @@ def first_rows(ranked: DataFrame, extra_keys: Sequence[str] = (), extra_aggs: Se
 def student_course_level(ranked: DataFrame, strategy: str | None = None) -> DataFrame:
     """The student-course table: first row per (user, course), the five scores,
     and the average / percentile rank of final_score within the course. The
-    first row and four of the scores come from one aggregate; the exact
-    median from the skew-safe positions."""
-    keys = ["user_id", "course_id"]
-    scores = [
-        F.avg("assignment_ranks").alias("mean_rank"),
-        F.avg(PCT).alias("procrastination_mean_rank"),
-        F.var_samp(PCT).alias("procrastination_var_rank"),
-        F.stddev_samp(PCT).alias("procrastination_std_rank"),
-    ]
-    base = first_rows(ranked.where(F.col("user_id").isNotNull() & F.col("course_id").isNotNull()), extra_aggs=scores)
-    med = group_median(ranked, keys, PCT, "procrastination_median_rank", strategy=strategy)
-    sc = base.join(med, keys, "left")
+    first row and the scores come from one aggregate."""
+    rows = ranked.where(F.col("user_id").isNotNull() & F.col("course_id").isNotNull())
     return average_rank(
-        sc, ["course_id"], "final_score", "final_score_ranks", "final_score_percentile_ranks", strategy=strategy
+        first_rows(rows, extra_aggs=_score_aggs()),
+        ["course_id"], "final_score", "final_score_ranks", "final_score_percentile_ranks", strategy=strategy,
     )

@@ -240,3 +240,21 @@ def submissions(wh: Warehouse, sis_only: bool = False, quiz_only: bool = False)
 def ordered_by_count(courses: DataFrame, count: str) -> DataFrame:
     """All courses, the largest count first (then by id)."""
     return courses.orderBy(F.col(count).desc_nulls_last(), F.col("course_canvas_id").asc_nulls_last())
+
+
+def register_views(wh: Warehouse) -> None:
+    """The base tables and the three course views under their names."""
+    wh.register()
+    for view, count in ((course_enrollments, "enrollments"), (course_assignments, "assignments"), (course_submissions, "submissions")):
+        ordered_by_count(view(wh), count).createOrReplaceTempView(view.__name__)
+
+
+def query(wh: Warehouse, sql: str) -> DataFrame:
+    """A caller's SQL text over the warehouse tables and views."""
+    register_views(wh)
+    return wh.course_dim.sparkSession.sql(sql)
+
+
+def ordered_by_due_date(submissions: DataFrame) -> DataFrame:
+    """The submission table as the study stores it: by due date, nulls last."""
+    return submissions.orderBy(F.col("due_date").asc_nulls_last(), "submission_id")

@@ -35,6 +35,11 @@ ANALYSIS_TYPES = {
 }
 
 
+def query_to_csv(spark: SparkSession, sql: str, path: str) -> None:
+    """The rows of a caller's SQL text, over registered views, as CSV."""
+    export_csv(spark.sql(sql), path)
+
+
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write ``df`` as headed CSV parts into the folder ``path``."""
     (
@@ -56,11 +61,11 @@ def read_csv(
     columns: Sequence[str] | None = None,
     types: dict[str, str] | None = None,
     lenient: bool = False,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read headed CSV, keep ``columns`` (in the file's order) and cast them.
-    Line breaks inside fields keep a file from being split, each file is then
-    read by one task; ``multi_line=False`` reads files without them in splits."""
+    Files are read in splits; ``multi_line=True`` allows line breaks inside
+    fields, and then one task reads a file."""
     raw = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
@@ -86,6 +91,6 @@ def read_csv(
     return raw.select(*out)
 
 
-def read_analysis_csv(spark: SparkSession, path: str, lenient: bool = False, multi_line: bool = True) -> DataFrame:
+def read_analysis_csv(spark: SparkSession, path: str, lenient: bool = False, multi_line: bool = False) -> DataFrame:
     """The analysis extract: the 11 columns of the submission table."""
     return read_csv(spark, path, list(ANALYSIS_TYPES), ANALYSIS_TYPES, lenient=lenient, multi_line=multi_line)
