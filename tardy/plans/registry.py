@@ -350,15 +350,15 @@ from ..operators import ols as O  # noqa: E402
 from . import grid as G  # noqa: E402
 
 
-def fitted(spark, sf, name, build):
-    """The tables of a fit, each written once; ``build`` runs if one is missing."""
+def fitted(spark, sf, name, build, tables=("terms", "cov", "fit_stats", "levels")):
+    """The ``tables`` of a fit, each written once; ``build`` runs if one is missing."""
     made: dict = {}
 
     def part(table):
         made.update({} if made else build())
         return made[table]
 
-    return {t: stage(spark, sf, f"{name}_{t}", lambda t=t: part(t)) for t in ("terms", "cov", "fit_stats", "levels")}
+    return {t: stage(spark, sf, f"{name}_{t}", lambda t=t: part(t)) for t in tables}
 
 
 def default_fit(spark, sf):
@@ -373,7 +373,7 @@ def grid_fit(spark, sf):
 
 
 def grid_fitted(spark, sf):
-    return fitted(spark, sf, "grid", lambda: G.grid_fit(grid_fit(spark, sf)[1]))
+    return fitted(spark, sf, "grid", lambda: G.grid_fit(grid_fit(spark, sf)[1]), ("terms", "levels"))
 
 
 @query("ols_suffstats")
@@ -469,7 +469,7 @@ def exported(spark, sf):
 def q_csv_scan(spark, sf):
     """Round trip: the submission table exported as CSV, read back as the
     11-column analysis extract (text -> typed, null tokens)."""
-    return csv_io.read_analysis_csv(spark, exported(spark, sf))
+    return csv_io.read_analysis_csv(spark, exported(spark, sf), multi_line=False)
 
 
 @query("export_csv")

@@ -28,7 +28,8 @@ def from_csv(
     multi_line: bool = False,
 ) -> Study:
     """Read the analysis extract and relabel ethnicities; with ``full_clean``
-    also filter, rank and score. Without it the rows are only loaded."""
+    also filter, rank and score. Without it the rows are only loaded. The file
+    is read in splits; ``multi_line`` is for files with line breaks in fields."""
     loaded = C.analysis_frame(read_analysis_csv(spark, path, lenient, multi_line))
     if not full_clean:
         return Study(loaded, None)
