@@ -15,7 +15,9 @@ result. Other columns are not read by ``find_spans`` and kept by ``redact``.
 Scale: matching runs inside the row, with patterns that cannot backtrack over
 long runs. Only (pattern, instance) pairs are shuffled, deduplicated before the
 shuffle, and only patterns with enough seeds go into the iteration. The model
-is the ``max_patterns`` best patterns at most, as in every bootstrapping round.
+is a written table of all confident patterns. It is joined to the unseen
+instances, broadcast only if a count shows few, and the marked spans are
+gathered per row (``redact``: per digest of the text).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
-from .common import WS, bind, cut_text, lower_ascii, prefix_sums, text_blocks, whole
+from .common import WS, bind, cut_text, lower_ascii, prefix_sums, small_side, text_blocks, whole
 
 # The base patterns, leftmost and non-overlapping. Possessive quantifiers and
 # a start that is either the end of the last match or not inside a run give the
@@ -52,7 +54,6 @@ class Bootstrap:
     min_support: float = 3.0
     min_confidence: float = 0.8
     min_digits: int = 4
-    max_patterns: int = 10_000
     context_chars: int = 48
 
 
@@ -121,7 +122,7 @@ def _of_kind(found: Column, n: int) -> Column:
     return F.transform(found, lambda x: F.struct(F.lit(n).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
 
 
-def with_matches(docs: DataFrame, keep: list[Column], text: str = "text", model: Bootstrap = Bootstrap()) -> DataFrame:
+def with_matches(docs: DataFrame, keep: list[Column], text: str | Column = "text", model: Bootstrap = Bootstrap()) -> DataFrame:
     """``keep``, ``_t``, ``_base`` (array<struct<k, s, e>>, k the kind's place)
     and ``_inst`` (array<struct<s, e, v, left, k>>, k null if not a seed)."""
     rows = docs.select(*keep, whole(text).alias("_t"))
@@ -142,15 +143,16 @@ def with_matches(docs: DataFrame, keep: list[Column], text: str = "text", model:
     return some.select(*kept, "_t", "_base", inst.alias("_inst"))
 
 
-def learn_patterns(matched: DataFrame, model: Bootstrap = Bootstrap()) -> list[tuple[str, int]]:
-    """(pattern, kind's place) of the confident patterns, best first."""
+def learn_patterns(matched: DataFrame, model: Bootstrap = Bootstrap()) -> DataFrame | None:
+    """``p`` (pattern) and ``k`` (its best kind's place) of all confident
+    patterns, as a written table; None if there is nothing to mark."""
     pairs = matched.select(F.explode("_inst").alias("x")).groupBy(F.col("x.left").alias("p"), F.col("x.v").alias("v")).agg(F.min("x.k").alias("k"))
     # Patterns with too few seeds can never reach the support, as discovered
     # instances come from confident patterns only: they still count here.
     seeded = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("seeds")).where((F.col("seeds") >= 1) & (F.col("n") >= model.min_support))
     edges = materialize(pairs.join(seeded.select("p", "n"), "p"), "pattern_instances")
     if edges.where("k IS NULL").isEmpty():
-        return []  # no unseen instance stands after any seeded pattern
+        return None  # no unseen instance stands after any seeded pattern
     seeds = edges.where("k IS NOT NULL").select("v", "k").distinct().withColumn("score", F.lit(1.0))
     scores, patterns = seeds, None
     for _ in range(model.rounds):
@@ -163,33 +165,38 @@ def learn_patterns(matched: DataFrame, model: Bootstrap = Bootstrap()) -> list[t
         found = edges.where("k IS NULL").select("p", "v").join(patterns.select("p", "k", "conf"), "p").groupBy("v", "k").agg((1 - F.exp(erring)).alias("score"))
         scores = materialize(seeds.unionByName(found).groupBy("v", "k").agg(F.max("score").alias("score")), "instance_scores")
     best = patterns.groupBy("p").agg(F.max(F.struct("conf", "support", -F.col("k"))).alias("b"))
-    top = best.orderBy(F.desc("b"), "p").limit(model.max_patterns).select("p", F.col("b.conf").alias("c"), (-F.col("b.col3")).cast("int").alias("k"))
-    return [(r["p"], r["k"]) for r in top.collect()]
+    return materialize(best.select("p", (-F.col("b.col3")).cast("int").alias("k")), "best_patterns")
 
 
-def _stands_after(patterns: list[str]):
-    listed = F.split(F.lit("\x1f".join(patterns)), "\x1f")  # folded into one literal
-    return lambda x: x["k"].isNull() & F.array_contains(listed, x["left"])
+def mark(matched: DataFrame, key: str, patterns: DataFrame) -> DataFrame:
+    """``key`` and ``_added`` (array<struct<k, s, e>>): the instances that touch
+    no base span and stand after a confident pattern. Rows of one key are equal."""
+    unseen = matched.select(key, F.explode("_inst").alias("x")).where("x.k IS NULL").select(key, "x.s", "x.e", F.col("x.left").alias("p"))
+    spans = unseen.join(small_side(patterns), "p").groupBy(key).agg(F.collect_set(F.struct("k", "s", "e")).alias("_added"))
+    return materialize(spans, "marked_spans")
 
 
-def all_spans(patterns: list[tuple[str, int]]) -> Column:
-    """``_base`` and the instances that stand after a confident pattern and
-    touch no base span, sorted by kind, then start."""
-    if not patterns:
-        return F.sort_array("_base")
-    added = []
-    for n in range(len(KINDS)):
-        if own := [p for p, k in patterns if k == n]:
-            added.append(_of_kind(F.filter("_inst", _stands_after(own)), n))
-    return F.sort_array(F.concat("_base", *added))
+def add_spans(rows: DataFrame, key: str, matched: DataFrame, model: Bootstrap) -> DataFrame:
+    """``rows`` with ``_added``, by ``key``, from what ``matched`` teaches."""
+    none = F.array().cast("array<struct<k:int,s:bigint,e:bigint>>")
+    patterns = learn_patterns(matched, model)
+    if patterns is None or patterns.isEmpty():
+        return rows.withColumn("_added", none)
+    return rows.join(small_side(mark(matched, key, patterns)), key, "left").withColumn("_added", F.coalesce("_added", none))
+
+
+def all_spans() -> Column:
+    """Base spans and added ones, sorted by kind, then start."""
+    return F.sort_array(F.concat("_base", "_added"))
 
 
 def find_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", model: Bootstrap = Bootstrap()) -> DataFrame:
     """Per row: id, ``base`` and ``found`` (array<struct<k, s, e>>, sorted).
     The text is read once; the short match lists are written."""
-    matched = materialize(with_matches(docs, [F.col(id_col).alias("_id")], text, model).drop("_t"), "pii_matches")
-    patterns = learn_patterns(matched, model)
-    return matched.select(F.col("_id").alias(id_col), F.sort_array("_base").alias("base"), all_spans(patterns).alias("found"))
+    found = with_matches(docs, [F.col(id_col).alias("_id")], text, model).drop("_t")
+    matched = materialize(found.withColumn("_key", F.monotonically_increasing_id()), "pii_matches")
+    rows = add_spans(matched.select("_key", "_id", "_base"), "_key", matched, model)
+    return rows.select(F.col("_id").alias(id_col), F.sort_array("_base").alias("base"), all_spans().alias("found"))
 
 
 def spell(spans: Column) -> Column:
@@ -201,12 +208,14 @@ def spell(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", model: Bootstrap = Bootstrap()) -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets (spans
     that overlap by the first one's); ``n_chars``, if there, is updated. Null
-    texts stay null. Texts are matched twice and never shuffled."""
-    learned = materialize(with_matches(docs, [], text, model).select("_inst"), "pii_instances")
-    patterns = learn_patterns(learned, model)
+    texts stay null. Texts are matched twice, and shuffled (once) only if
+    more of them get added spans than are broadcast."""
+    key = F.sha2(whole(text), 256).alias("_key")
+    learned = materialize(with_matches(docs, [key], text, model).where(F.size("_inst") > 0).select("_key", "_inst"), "pii_instances")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = with_matches(docs, [row], text, model)
-    by_place = F.sort_array(F.transform(all_spans(patterns), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
+    keyed = add_spans(docs.select(row, key), "_key", learned, model)
+    rows = with_matches(keyed, [F.col("_row"), F.col("_added")], F.col(f"_row.`{text}`"), model)
+    by_place = F.sort_array(F.transform(all_spans(), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
     none = F.array().cast("array<struct<s:bigint,e:bigint,k:int>>")
     merge = lambda acc, x: F.when(
         (F.size(acc) > 0) & (x["s"] < F.coalesce(F.get(acc, F.size(acc) - 1)["e"], F.lit(0))),

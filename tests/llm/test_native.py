@@ -79,6 +79,15 @@ def test_pii_bootstraps(spark):
     assert red[9] == "Well, card number: <CARD> maybe" and red[0].endswith("number: <CARD> thanks")
 
 
+def test_pii_keeps_every_confident_pattern(spark):
+    """More than 10,000 patterns, each with four seeds and an unseen identifier."""
+    n = 10_050
+    w = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, "".join(f"{w(i)} mail x{j}{w(i)}@b.co and " for j in range(4)) + f"{w(i)} mail {100_000 + i}") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert pii_bootstrap.find_spans(docs).where(F.size("found") == 5).count() == n
+
+
 def test_redact_edge(edge, nothing):
     out = {r.doc_id: r for r in pii_bootstrap.redact(edge).collect()}
     assert out[10].text == "mail me: <EMAIL>, ip <IP> and <IP>.1.2, card <CARD> call <PHONE>." or "<EMAIL>" in out[10].text
