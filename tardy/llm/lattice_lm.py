@@ -11,7 +11,7 @@ different texts, the probabilities of all texts sum to 1 at most.
 
 The pieces are taken as they are. Their weights start from the file's scores
 and are fitted to the distinct training words by expectation-maximisation over
-the same lattices (forward and backward sums); the last rounds run over all
+the same lattices (forward and backward sums); each round runs over all
 training words. A whole-word arc has the word's relative frequency less a
 discount (estimated from the words seen once and twice); the discounts' mass is
 what the pieces share out. So a frequent word counts as frequent, and an unseen
@@ -52,11 +52,8 @@ FOREIGN = "\U0010ffff"  # stands for the marker inside a word; in no piece
 
 @dataclass(frozen=True)
 class Training:
-    #: Rounds over a sample of words (those of ``warm_words`` smallest hashes),
-    #: then rounds over all.
-    warm_rounds: int = 4
-    warm_words: int = 100_000
-    full_rounds: int = 1
+    #: Each over all distinct training words.
+    rounds: int = 5
     #: Added to each expected count, so that no piece or byte has probability 0.
     piece_floor: float = 0.01
     byte_floor: float = 1.0
@@ -312,12 +309,8 @@ def fit_scores(words: DataFrame, vocab: Vocabulary, start: list[float], how: Tra
     logp = _normalise(first, vocab, how)
     if not n_words:
         return logp
-    part = min(1.0, how.warm_words / n_words)
-    warm = words.where(F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < math.ceil(part * (1 << 20)))
-    warm = materialize(warm.repartition(16), "warm_words")
-    for table, rounds in ((warm, how.warm_rounds), (words, how.full_rounds)):
-        for _ in range(rounds):
-            logp = _normalise(expected_counts(table, vocab, logp, how), vocab, how)
+    for _ in range(how.rounds):
+        logp = _normalise(expected_counts(words, vocab, logp, how), vocab, how)
     return logp
 
 

@@ -65,6 +65,22 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(counts[vocab.marked].sum(), 1.0) and counts[vocab.stop] == 1
 
 
+def test_every_round_reads_all_words(spark):
+    """Over more distinct words than any sample of 100,000."""
+    letters = "abcdefghij"
+    words = ["".join(letters[int(c)] for c in str(i)) for i in range(120_000)]
+    vocab, how = lattice_lm.Vocabulary([*("\u2581" + c for c in letters), *letters, "ab", "cde", "hij"]), lattice_lm.Training()
+    start = [1.0] * len(vocab.pieces)
+    got = lattice_lm.fit_scores(spark.createDataFrame([(w,) for w in words], "word string").repartition(8), vocab, start, how)
+    first = np.zeros(vocab.stop + 1)
+    first[: vocab.first_byte] = 3 * len(words) / len(start)
+    first[vocab.stop] = len(words)
+    want, lattice = lattice_lm._normalise(first, vocab, how), lattice_lm.Lattice(vocab, words)
+    for _ in range(5):
+        want = lattice_lm._normalise(lattice.expected(want), vocab, how)
+    assert np.allclose(got, want, rtol=1e-9)
+
+
 def test_lattice_base_columns(edge, nothing):
     pieces, start = lattice_lm.read_pieces(P.path("piece_bpe_32k.model"))
     docs = edge.where("doc_id IS NOT NULL AND doc_id <> 12")
