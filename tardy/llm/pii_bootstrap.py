@@ -14,7 +14,8 @@ result. Other columns are not read by ``find_spans`` and kept by ``redact``.
 
 Scale: matching runs inside the row, with patterns that cannot backtrack over
 long runs. Only (pattern, instance) pairs are shuffled, deduplicated before the
-shuffle, and only patterns with enough seeds go into the iteration. The model
+shuffle, and only patterns with enough instances go into the iteration, which
+goes on until nothing changes: scores only rise, so it ends. The model
 is a written table of all confident patterns. It is joined to the unseen
 instances, broadcast only if a count shows few, and the marked spans are
 gathered per row (``redact``: per digest of the text).
@@ -50,10 +51,11 @@ INSTANCE = rf"(?<!{TOKEN})(?:[(+]?[0-9](?:[\x20().-]{{0,3}}[0-9])++(?![A-Za-z@_%
 
 @dataclass(frozen=True)
 class Bootstrap:
-    rounds: int = 3
     min_support: float = 3.0
     min_confidence: float = 0.8
     min_digits: int = 4
+    #: The rounds end when no confidence rises by more and no pattern is new.
+    tolerance: float = 1e-6
     context_chars: int = 48
 
 
@@ -146,21 +148,26 @@ def with_matches(docs: DataFrame, keep: list[Column], text: str | Column = "text
 def learn_patterns(matched: DataFrame, model: Bootstrap = Bootstrap()) -> DataFrame | None:
     """``p`` (pattern) and ``k`` (its best kind's place) of all confident
     patterns, as a written table; None if there is nothing to mark."""
-    pairs = matched.select(F.explode("_inst").alias("x")).groupBy(F.col("x.left").alias("p"), F.col("x.v").alias("v")).agg(F.min("x.k").alias("k"))
-    # Patterns with too few seeds can never reach the support, as discovered
-    # instances come from confident patterns only: they still count here.
-    seeded = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("seeds")).where((F.col("seeds") >= 1) & (F.col("n") >= model.min_support))
-    edges = materialize(pairs.join(seeded.select("p", "n"), "p"), "pattern_instances")
-    if edges.where("k IS NULL").isEmpty():
-        return None  # no unseen instance stands after any seeded pattern
+    pairs = matched.select(F.explode("_inst").alias("x")).groupBy(F.col("x.left").alias("p"), F.col("x.v").alias("v"))
+    pairs = pairs.agg(F.min("x.k").alias("k"), F.max(F.col("x.k").isNull()).alias("unseen"))
+    # The support is at most the number of instances, seeds or not.
+    often = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= model.min_support)
+    edges = materialize(pairs.join(often, "p"), "pattern_instances")
+    if edges.where("unseen").isEmpty():
+        return None
     seeds = edges.where("k IS NOT NULL").select("v", "k").distinct().withColumn("score", F.lit(1.0))
     scores, patterns = seeds, None
-    for _ in range(model.rounds):
+    while True:
         weighed = edges.select("p", "v", "n").join(scores, "v").groupBy("p", "k", "n").agg(F.sum("score").alias("support"))
-        patterns = materialize(
+        now = materialize(
             weighed.withColumn("conf", F.col("support") / F.col("n")).where((F.col("conf") >= model.min_confidence) & (F.col("support") >= model.min_support)),
             "confident_patterns",
         )
+        before = now.select("p", "k", F.lit(0.0).alias("conf")) if patterns is None else patterns.select("p", "k", "conf")
+        change = now.select("p", "k", "conf").unionByName(before).groupBy("p", "k").agg(F.count(F.lit(1)).alias("in"), (F.max("conf") - F.min("conf")).alias("by"))
+        patterns = now
+        if change.where((F.col("in") < 2) | (F.col("by") > model.tolerance)).isEmpty():
+            break
         erring = F.sum(F.log1p(-F.least(F.col("conf"), F.lit(0.999))))
         found = edges.where("k IS NULL").select("p", "v").join(patterns.select("p", "k", "conf"), "p").groupBy("v", "k").agg((1 - F.exp(erring)).alias("score"))
         scores = materialize(seeds.unionByName(found).groupBy("v", "k").agg(F.max("score").alias("score")), "instance_scores")

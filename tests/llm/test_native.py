@@ -88,6 +88,17 @@ def test_pii_keeps_every_confident_pattern(spark):
     assert pii_bootstrap.find_spans(docs).where(F.size("found") == 5).count() == n
 
 
+def test_pii_patterns_without_seeds(spark):
+    """p stands before 200 emails and 40 identifiers; q only before those 40 and
+    8 others; r only before those 8 and a last one."""
+    after = {"p": [f"x{i}@b.co" for i in range(200)] + [f"A1000{i}" for i in range(40)], "q": [f"A1000{i}" for i in range(40)] + [f"A2000{i}" for i in range(8)]}
+    after["r"] = after["q"][40:] + ["A30000"]
+    rows = [(i, f"the {w} code {v} is") for i, (w, v) in enumerate((w, v) for w, vs in after.items() for v in vs)]
+    found = pii_bootstrap.find_spans(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2))
+    got = {r.doc_id: r.s for r in found.select("doc_id", pii_bootstrap.spell(F.col("found")).alias("s")).collect()}
+    assert len(got) == 297 and all(got[i].startswith("email:11:") for i, _ in rows)
+
+
 def test_redact_edge(edge, nothing):
     out = {r.doc_id: r for r in pii_bootstrap.redact(edge).collect()}
     assert out[10].text == "mail me: <EMAIL>, ip <IP> and <IP>.1.2, card <CARD> call <PHONE>." or "<EMAIL>" in out[10].text
