@@ -8,7 +8,7 @@ filled up to a token budget.
 Lengths up to ``exact`` are histogram cells of their own; beyond, cells widen
 with the length (64 to each doubling, 1.6 % at most), so the histogram has a
 bounded number of cells at any corpus size. Padding is computed from exact sums
-in each cell; boundaries lie on the cells' upper ends.
+in each cell; boundaries are the cells' longest real lengths.
 
 Defined results: a null or empty text has length 0 and lies in the first
 bucket. A bucket whose boundary exceeds the budget holds one document a batch.
@@ -86,8 +86,8 @@ def best_boundaries(ends: list[int], counts: list[int], buckets: int) -> list[in
 
 def boundaries(lengths: DataFrame, packing: Packing = Packing()) -> list[int]:
     """From ``_n`` of all rows; the histogram has a bounded number of cells."""
-    cells = lengths.groupBy(cell_end(F.col("_n")).alias("end")).agg(F.count(F.lit(1)).alias("docs")).collect()
-    cells = sorted((r["end"], r["docs"]) for r in cells)
+    cells = lengths.groupBy(cell_end(F.col("_n")).alias("end")).agg(F.max("_n").alias("longest"), F.count(F.lit(1)).alias("docs")).collect()
+    cells = sorted((r["longest"], r["docs"]) for r in cells)
     return best_boundaries([e for e, _ in cells], [d for _, d in cells], packing.buckets)
 
 

@@ -99,6 +99,11 @@ def test_pii_patterns_without_seeds(spark):
     assert len(got) == 297 and all(got[i].startswith("email:11:") for i, _ in rows)
 
 
+def test_boundaries_are_real_lengths(spark):
+    lengths = spark.createDataFrame([(n,) for n in (5, 1030, 2049, 2050, 9001)], "_n bigint")
+    assert length_buckets.boundaries(lengths) == [5, 1030, 2050, 9001]
+
+
 def test_redact_edge(edge, nothing):
     out = {r.doc_id: r for r in pii_bootstrap.redact(edge).collect()}
     assert out[10].text == "mail me: <EMAIL>, ip <IP> and <IP>.1.2, card <CARD> call <PHONE>." or "<EMAIL>" in out[10].text
