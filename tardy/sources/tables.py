@@ -12,18 +12,48 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
+#: Folders written by this process and not yet removed.
+_WRITTEN: set[str] = set()
+
 
 def scratch_path(df: DataFrame, name: str) -> str:
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the checkpoint folder and return a reader."""
+def write_scratch(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet under the checkpoint folder; returns the folder."""
     path = scratch_path(df, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _WRITTEN.add(path)
+    return path
+
+
+def read_scratch(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the checkpoint folder and return a reader."""
+    return read_scratch(df.sparkSession, write_scratch(df, name))
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``write_scratch`` wrote and nothing reads any more."""
+    if path in _WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN.discard(path)
+
+
+def remove_all_scratch(spark: SparkSession) -> int:
+    """Delete every scratch table of this process, for the end of a session or
+    once no DataFrame made before is read again. Returns how many there were."""
+    paths = list(_WRITTEN)
+    for path in paths:
+        remove_scratch(spark, path)
+    return len(paths)
