@@ -63,4 +63,43 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM j JOIN rates USING (host)
 """
 
-SQL = {"op5_bloom_cascade": OP5, "op7_chat_parts": OP7, "op9_chunk_recipes": OP9, "op10_host_rules": OP10}
+
+
+def _lloyd(dim: int = 64, scale: int = 256, k: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    """Plain Lloyd rounds: every vector against every centroid."""
+    parts = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(CAST(c AS DOUBLE)))) = {dim}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS c, x AS y FROM v
+  QUALIFY c < {k}
+)"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""a{r} AS MATERIALIZED (
+  SELECT i, any_value(vec_id) AS vec_id, any_value(x) AS x, arg_min(c, d * 1000 + c) AS c, min(d) AS d
+  FROM (SELECT i, vec_id, x, c, CAST(list_inner_product(w, w) - 2 * list_inner_product(w, u) + list_inner_product(u, u) AS BIGINT) AS d
+    FROM (SELECT *, CAST(x AS DOUBLE[]) AS w FROM v), (SELECT c, CAST(y AS DOUBLE[]) AS u FROM c{r})) GROUP BY i
+)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""c{r + 1} AS MATERIALIZED (
+  SELECT c, coalesce(z, y) AS y FROM c{r} LEFT JOIN (
+    SELECT c, list((s - (((s % n) + n) % n)) // n ORDER BY p) AS z FROM (
+      SELECT c, p, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS e, generate_subscripts(x, 1) AS p FROM a{r}) GROUP BY c, p
+    ) GROUP BY c
+  ) USING (c)
+)"""
+            )
+    return "WITH " + ", ".join(parts) + (
+        f"\nSELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,"
+        f" CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"
+    )
+
+
+OP12 = _lloyd()
+
+SQL = {"op12_drift_clusters": OP12, "op5_bloom_cascade": OP5, "op7_chat_parts": OP7, "op9_chunk_recipes": OP9, "op10_host_rules": OP10}

@@ -125,3 +125,68 @@ def quality(text):
     lines = [x for x in t.split("\n") if WORD.search(x)]
     n = len(w)
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep), n < 50 or 100 * len(rep) > 50 * n
+
+
+def spellings(docs, least=7):
+    """op13 over (doc_id, text) rows: word -> (form, root, n, n_near, form_n)."""
+    n = Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = lower(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            if h % 31 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            if len(w) >= least:
+                n[w] += 1
+    n = {w: c for w, c in n.items() if c >= 2}
+    holes = defaultdict(set)
+    for w in n:
+        for i in range(len(w)):
+            holes[w[:i], w[i + 1 :]].add(w)
+    near = defaultdict(set)
+    for w in n:
+        for i in range(len(w)):
+            near[w] |= holes[w[:i], w[i + 1 :]] - {w}
+            if (d := w[:i] + w[i + 1 :]) in n:
+                near[w].add(d)
+                near[d].add(w)
+    form = {}
+    for w, c in n.items():
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 10 * c else None
+    out = {}
+    for w in n:
+        r = w
+        while form[r] is not None:
+            r = form[r]
+        out[w] = (form[w], r, n[w], len(near[w]), n[form[w]] if form[w] else None)
+    return out
+
+
+def lloyd(rows, k=40, rounds=5, dim=64):
+    """op12 over (vec_id, vector) rows, plainly: list of output rows."""
+    kept = []
+    for i, v in rows:
+        if v is not None and len(v) == dim and all(c is not None and math.isfinite(c) for c in v):
+            kept.append((i, [math.floor(256 * c) for c in v]))
+    start = sorted(kept, key=lambda r: (sha(f"2:{'' if r[0] is None else r[0]}"), r[1]))[:k]
+    cents = [x for _, x in start]
+
+    def assign():
+        out = []
+        for _, x in kept:
+            d = [sum((a - b) ** 2 for a, b in zip(x, c)) for c in cents]
+            out.append((min(d), d.index(min(d))))
+        return out
+
+    for _ in range(rounds):
+        at = assign()
+        for c in range(len(cents)):
+            mine = [x for (_, x), (_, a) in zip(kept, at) if a == c]
+            if mine:
+                cents[c] = [sum(col) // len(mine) for col in zip(*mine)]
+    at = assign()
+    per = Counter()
+    for d, c in at:
+        per[c] += d
+    return [(i, c, d, per[c], sum(per.values()), sha(",".join(map(str, cents[c])))) for (i, _), (d, c) in zip(kept, at)]
