@@ -65,6 +65,22 @@ FROM j JOIN rates USING (host)
 
 
 
+#: The given pages mark their one article and end its blocks with h1 and p tags.
+OP11 = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS inner_html FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(string_split_regex(inner_html, '</?(?:h1|p)>'), lambda x: regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')) AS raw FROM a
+), c AS (
+  SELECT page_id, url, list_transform(raw, lambda x: replace(replace(replace(replace(regexp_replace(regexp_replace(x,
+    '&quot;?', '"', 'g'), '&#x27;', chr(39), 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&')) AS read FROM b
+), d AS (
+  SELECT page_id, url, list_filter(list_transform(read, lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM c
+)
+SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10) || chr(10))) AS BIGINT) AS n_chars FROM d
+"""
+
+
 def _lloyd(dim: int = 64, scale: int = 256, k: int = 40, rounds: int = 5, seed: int = 2) -> str:
     """Plain Lloyd rounds: every vector against every centroid."""
     parts = [
@@ -102,4 +118,4 @@ def _lloyd(dim: int = 64, scale: int = 256, k: int = 40, rounds: int = 5, seed:
 
 OP12 = _lloyd()
 
-SQL = {"op12_drift_clusters": OP12, "op5_bloom_cascade": OP5, "op7_chat_parts": OP7, "op9_chunk_recipes": OP9, "op10_host_rules": OP10}
+SQL = {"op11_max_subsequence": OP11, "op12_drift_clusters": OP12, "op5_bloom_cascade": OP5, "op7_chat_parts": OP7, "op9_chunk_recipes": OP9, "op10_host_rules": OP10}

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_parts, chunk_dedup, drift_clusters, host_quality, lattice_lm, length_buckets, pii_bootstrap, signature_join, spelling_kd, tree_bpe, url_cascade, zstd_langid
+from . import chat_parts, chunk_dedup, drift_clusters, host_quality, lattice_lm, length_buckets, main_text, pii_bootstrap, signature_join, spelling_kd, tree_bpe, url_cascade, zstd_langid
 
 #: op5: (verdict, host and path prefix).
 URL_RULES = (
@@ -100,6 +100,11 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "fail_rate")
 
 
+def op11_max_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return main_text.extract_main_text(pages, ["page_id", "url"], *main_text.fit_weights(pages))
+
+
 def op12_drift_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned, centroids, _ = drift_clusters.cluster_vectors(_table(spark, sf_dir, "embeddings"))
     return drift_clusters.with_inertia(spark, assigned, centroids)
@@ -120,6 +125,7 @@ QUERIES = {
     "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_chunk_recipes": op9_chunk_recipes,
     "op10_host_rules": op10_host_rules,
+    "op11_max_subsequence": op11_max_subsequence,
     "op12_drift_clusters": op12_drift_clusters,
     "op13_spelling_kd": op13_spelling_kd,
 }
