@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
+from .joinback import join_back, small_or_shuffled
 from .ranking import group_quantiles
 
 SQRT_2PI = math.sqrt(2.0 * math.pi)
@@ -25,7 +27,6 @@ def kde_grid(
     gridsize: int = 200,
     cut: float = 3.0,
     clip: tuple[float, float] | None = (0.0, 1.0),
-    few_curves: bool = False,
 ) -> DataFrame:
     """Gaussian KDE of ``value`` per group on an evenly spaced grid.
 
@@ -37,9 +38,9 @@ def kde_grid(
     Equal values of a curve are counted first. Each distinct value then meets
     the curve's ``gridsize`` points through an in-row ``sequence`` explode (not
     a pair join), weighted by its count; the sum per (curve, point) is combined
-    map-side, so a hot curve is reduced per task. ``few_curves``: the caller
-    knows that the keys have a handful of values; their statistics are then
-    broadcast, as shuffling on such keys would use a handful of tasks.
+    map-side, so a hot curve is reduced per task. The curves' statistics are
+    written and joined back: broadcast if they are few, else the values of a hot
+    curve can be split over tasks before they are expanded.
     """
     keys = list(keys)
     v = F.col(value)
@@ -63,8 +64,7 @@ def kde_grid(
     stats = stats.withColumn("_klo", lo).withColumn("_khi", hi).withColumn(
         "_kstep", (F.col("_khi") - F.col("_klo")) / F.lit(gridsize - 1)
     )
-    if few_curves:
-        stats = F.broadcast(stats)
+    stats = small_or_shuffled(materialize(stats.select(*keys, "_kn", "_kbw", "_klo", "_khi", "_kstep"), "curve_stats"))
     # numpy.linspace: start + i * step, the last point set to stop exactly
     x_at = F.when(F.col("grid_i") == gridsize - 1, F.col("_khi")).otherwise(
         F.col("grid_i") * F.col("_kstep") + F.col("_klo")
@@ -73,13 +73,15 @@ def kde_grid(
         df.where(v.isNotNull())
         .groupBy(*keys, v.alias("_kv"))
         .agg(F.count(F.lit(1)).alias("_kc"))
-        .join(stats.select(*keys, "_kbw", "_klo", "_khi", "_kstep"), keys)
-        .select(*keys, "_kv", "_kc", "_kbw", "_klo", "_khi", "_kstep", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_i"))
+        .join(stats.drop("_kn"), keys)
+        # A struct of the keys: grouped by the keys themselves, the sums would
+        # take over the join's partitions and keep it from being split.
+        .select(F.struct(*keys).alias("_curve"), "_kv", "_kc", "_kbw", "_klo", "_khi", "_kstep", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_i"))
         .withColumn("x", x_at)
-        .groupBy(*keys, "grid_i")
+        .groupBy("_curve", "grid_i")
         .agg(F.sum(F.col("_kc") * F.exp(F.lit(-0.5) * F.pow((F.col("x") - F.col("_kv")) / F.col("_kbw"), 2))).alias("_ks"))
     )
-    return pts.join(stats.select(*keys, "_kn", "_kbw", "_klo", "_khi", "_kstep"), keys).select(
+    return pts.select("_curve.*", "grid_i", "_ks").join(stats, keys).select(
         *keys, "grid_i", x_at.alias("x"), (F.col("_ks") / (F.col("_kn") * F.col("_kbw") * F.lit(SQRT_2PI))).alias("density")
     )
 
@@ -116,6 +118,7 @@ def auto_histogram(df: DataFrame, value: str) -> DataFrame:
 
     idx0 = F.floor((F.col("_hv") - F.col("_first")) * F.col("_nb") / (F.col("_last") - F.col("_first"))).cast("int")
     idx0 = F.when(idx0 >= F.col("_nb"), F.col("_nb") - 1).otherwise(idx0)
+    s = F.broadcast(s)  # one row
     rows = base.join(s, "_hk").withColumn("_i0", idx0)
     idx = (
         F.when(F.col("_hv") < edge(F.col("_i0")), F.col("_i0") - 1)
@@ -139,7 +142,7 @@ def box_outliers(df: DataFrame, keys: Sequence[str], value: str, whis: float = 1
     q = group_quantiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75})
     reach = (F.col("_q3") - F.col("_q1")) * whis
     limits = q.select(*keys, (F.col("_q1") - reach).alias("lo_limit"), (F.col("_q3") + reach).alias("hi_limit"))
-    return df.join(limits, keys).where((v < F.col("lo_limit")) | (v > F.col("hi_limit")))
+    return join_back(df, limits, keys, "inner", "box_limits").where((v < F.col("lo_limit")) | (v > F.col("hi_limit")))
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], value: str, whis: float = 1.5) -> DataFrame:
@@ -148,7 +151,7 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str, whis: float = 1.5)
     keys = list(keys)
     v = F.col(value)
     q = group_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    j = df.where(v.isNotNull()).select(*keys, v.alias("_bv")).join(q, keys)
+    j = join_back(df.where(v.isNotNull()).select(*keys, v.alias("_bv")), q, keys, "inner", "box_quartiles")
     iqr = F.col("q3") - F.col("q1")
     lo_lim = F.col("q1") - iqr * whis
     hi_lim = F.col("q3") + iqr * whis

@@ -1,20 +1,27 @@
 """Cleaning stage: group filters on courses, assignments and students.
 
 Each group filter of the study (a Python predicate per pandas group) is a
-native aggregate plus a semi join or a row filter, so Spark combines the
-aggregate map-side and AQE chooses broadcast or a skew-split shuffle join
-from the runtime size of the (small) aggregate side. Order of the steps:
-course stats -> course filter -> assignment filter -> student filter ->
-course invariants. Every comparison is strict ``>``.
+native aggregate, combined map-side, that is written and joined back
+(``operators.joinback``): broadcast if counted small, else a join whose hot keys
+adaptive execution can split. Order of the steps: course stats -> course filter
+-> assignment filter -> student filter -> course invariants. Every comparison is
+strict ``>``.
+
+``clean`` and the audit decide on cells, the distinct (course, student,
+assignment) triples with their row counts: all filters keep or drop whole cells.
+The wide rows are read once to make the cells and once to be filtered.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CleanConfig
 from ..functions.scalars import ethnicity_remap
+from ..operators.joinback import join_back
 from ..sources.tables import materialize
 
 # Columns of the analysis extract, in file order of the submission table.
@@ -40,7 +47,7 @@ def course_stats(df: DataFrame) -> DataFrame:
 
 
 def with_course_stats(df: DataFrame) -> DataFrame:
-    return df.join(course_stats(df), "course_id", "left")
+    return join_back(df, course_stats(df), "course_id", "left", "course_stats")
 
 
 def course_filter(df: DataFrame) -> DataFrame:
@@ -67,7 +74,7 @@ def assignment_filter(df: DataFrame, a_thres: float) -> DataFrame:
     """Keep assignments submitted by more than ``a_thres`` of the course's
     (unfiltered) students."""
     keep = assignment_ratios(df).where(F.col("_ratio") > F.lit(float(a_thres))).select("assignment_id")
-    return df.join(keep, "assignment_id", "left_semi")
+    return join_back(df, keep, "assignment_id", "left_semi", "kept_assignments")
 
 
 def assignment_counts(df: DataFrame, name: str = "n_assignments") -> DataFrame:
@@ -79,14 +86,14 @@ def assignment_counts(df: DataFrame, name: str = "n_assignments") -> DataFrame:
 def student_filter(df: DataFrame, s_thres: float) -> DataFrame:
     """Attach the course's assignment count, then keep student-courses with
     more than floor(n_assignments * s_thres) distinct assignments."""
-    df = df.join(assignment_counts(df), "course_id", "left")
+    df = join_back(df, assignment_counts(df), "course_id", "left", "assignment_counts")
     per = (
         df.where(F.col("user_id").isNotNull() & F.col("course_id").isNotNull())
         .groupBy("user_id", "course_id")
         .agg(F.countDistinct("assignment_id").alias("_na"), F.max("n_assignments").alias("_nc"))
     )
     keep = per.where(F.col("_na") > F.floor(F.col("_nc") * F.lit(float(s_thres)))).select("user_id", "course_id")
-    return df.join(keep, ["user_id", "course_id"], "left_semi")
+    return join_back(df, keep, ["user_id", "course_id"], "left_semi", "kept_students")
 
 
 def course_invariants(df: DataFrame, a_n: int, s_n: int) -> DataFrame:
@@ -94,17 +101,70 @@ def course_invariants(df: DataFrame, a_n: int, s_n: int) -> DataFrame:
     courses with more than ``s_n`` students and more than ``a_n`` assignments.
     Both counts are taken before either test, so one predicate does both."""
     counts = course_invariant_counts(df, a_n, s_n).where("kept").drop("kept")
-    return df.join(counts, "course_id", "inner")
+    return join_back(df, counts, "course_id", "inner", "course_invariants")
+
+
+@dataclass(frozen=True)
+class Decisions:
+    """What the filters keep, as written tables."""
+
+    #: course_id, user_id, assignment_id, n of the courses that pass the course
+    #: filter, with course_size.
+    cells: DataFrame
+    #: assignment_id, _ratio of the same courses.
+    ratios: DataFrame
+    #: user_id, course_id that pass the student filter.
+    students: DataFrame
+    #: course_id, course_size, course_mean, n_assignments, n_students_updated,
+    #: n_assignments_updated of the courses that pass all filters.
+    courses: DataFrame
+
+
+def cells_of(df: DataFrame) -> DataFrame:
+    """Distinct (course, user, assignment) with ``n`` rows and the sum and count
+    of their final scores, written."""
+    return materialize(
+        df.groupBy("course_id", "user_id", "assignment_id").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("final_score").alias("_s"), F.count("final_score").alias("_k")
+        ),
+        "clean_cells",
+    )
+
+
+def decide(cells: DataFrame, cfg: CleanConfig = CleanConfig()) -> Decisions:
+    """All filters, on cells alone. A cell is one assignment of one student, so
+    a count of cells is a count of distinct assignments or students."""
+    course = cells.where(F.col("course_id").isNotNull()).groupBy("course_id").agg(
+        F.countDistinct("user_id").alias("course_size"), F.expr("sum(_s) / nullif(sum(_k), 0)").alias("course_mean")
+    )
+    course = materialize(course_filter(course), "clean_courses")
+    of_course = join_back(cells, course.drop("course_mean"), "course_id", "inner", "clean_course_sizes")
+    s1 = materialize(of_course.select("course_id", "user_id", "assignment_id", "course_size", "n"), "clean_cells_1")
+    ratios = materialize(assignment_ratios(s1), "clean_ratios")
+    enough = F.col("_ratio") > F.lit(float(cfg.a_thres))
+    s2 = join_back(s1, ratios.where(enough).select("assignment_id"), "assignment_id", "left_semi", "clean_assignments")
+    per = s2.where(F.col("user_id").isNotNull()).groupBy("user_id", "course_id").agg(F.count("assignment_id").alias("_na"))
+    total = materialize(assignment_counts(s2), "clean_totals")
+    many = F.col("_na") > F.floor(F.col("n_assignments") * F.lit(float(cfg.s_thres)))
+    students = materialize(join_back(per, total, "course_id", "inner", "clean_totals").where(many).select("user_id", "course_id"), "clean_students")
+    s3 = join_back(s2, students, ["user_id", "course_id"], "left_semi", "clean_students")
+    kept = (
+        course.join(total, "course_id")
+        .join(students.groupBy("course_id").agg(F.count("user_id").alias("n_students_updated")), "course_id")
+        .join(assignment_counts(s3, "n_assignments_updated"), "course_id")
+        .where((F.col("n_students_updated") > cfg.s_n) & (F.col("n_assignments_updated") > cfg.a_n))
+    )
+    return Decisions(s1, ratios, students, materialize(kept, "clean_kept_courses"))
 
 
 def clean(df: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     """Full cleaning of an analysis frame (already typed). An assignment of
     two courses fails the job."""
-    out = with_course_stats(df)
-    out = course_filter(out)
-    out = assignment_filter(out, cfg.a_thres)
-    out = student_filter(out, cfg.s_thres)
-    return course_invariants(out, cfg.a_n, cfg.s_n)
+    d = decide(cells_of(df), cfg)
+    passing = d.ratios.where(F.col("_ratio") > F.lit(float(cfg.a_thres))).select("assignment_id")
+    out = join_back(df, passing, "assignment_id", "left_semi", "clean_assignments")
+    out = join_back(out, d.students, ["user_id", "course_id"], "left_semi", "clean_students")
+    return join_back(out, d.courses, "course_id", "inner", "clean_kept_courses")
 
 
 STAGES = ("loaded", "course_filter", "assignment_filter", "student_filter", "invariants")
@@ -114,30 +174,19 @@ def stage_reached(df: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     """Distinct (course, user, assignment) with ``n`` rows and ``reached``: the
     number of filters passed in a row. Every filter keeps or drops all rows of
     such a triple, so the audit reads the submissions once."""
-    cells = materialize(
-        df.groupBy("course_id", "user_id", "assignment_id").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("final_score").alias("_s"), F.count("final_score").alias("_k")
-        ),
-        "audit_cells",
-    )
-    course = cells.where(F.col("course_id").isNotNull()).groupBy("course_id").agg(
-        F.countDistinct("user_id").alias("course_size"), F.expr("sum(_s) / nullif(sum(_k), 0)").alias("course_mean")
-    )
-    s1 = course_filter(cells.join(course, "course_id")).select("course_id", "user_id", "assignment_id", "course_size", "n")
-    s1 = materialize(s1.join(assignment_ratios(s1), "assignment_id", "left"), "audit_ratios")
-    s2 = s1.where(F.col("_ratio") > F.lit(float(cfg.a_thres)))
-    total = assignment_counts(s2)
-    per = s2.where(F.col("user_id").isNotNull()).groupBy("user_id", "course_id").agg(F.countDistinct("assignment_id").alias("_na"))
-    enough = F.col("_na") > F.floor(F.col("n_assignments") * F.lit(float(cfg.s_thres)))
-    students = materialize(per.join(total, "course_id").where(enough).select("user_id", "course_id", F.lit(1).alias("_p3")), "audit_students")
-    s3 = s2.join(students.drop("_p3"), ["user_id", "course_id"], "left_semi")
-    courses = course_invariant_counts(s3, cfg.a_n, cfg.s_n).where("kept").select("course_id", F.lit(1).alias("_p4"))
+    cells = cells_of(df)
+    d = decide(cells, cfg)
+    students = d.students.withColumn("_p3", F.lit(1))
+    courses = d.courses.select("course_id", F.lit(1).alias("_p4"))
+    tagged = join_back(d.cells, d.ratios, "assignment_id", "left", "audit_ratios")
+    tagged = join_back(tagged, students, ["user_id", "course_id"], "left", "audit_students")
+    tagged = join_back(tagged, courses, "course_id", "left", "audit_courses")
     passed2 = F.coalesce(F.col("_ratio") > F.lit(float(cfg.a_thres)), F.lit(False))
-    tagged = s1.join(students, ["user_id", "course_id"], "left").join(courses, "course_id", "left").select(
+    tagged = tagged.select(
         "course_id", "user_id", "n",
         F.when(~passed2, 1).when(F.col("_p3").isNull(), 2).when(F.col("_p4").isNull(), 3).otherwise(4).alias("reached"),
     )
-    lost = cells.join(course_filter(course).select("course_id"), "course_id", "left_anti")
+    lost = join_back(cells, d.cells.select("course_id").distinct(), "course_id", "left_anti", "audit_kept")
     return tagged.unionByName(lost.select("course_id", "user_id", "n", F.lit(0).alias("reached")))
 
 

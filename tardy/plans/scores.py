@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joinback import join_back
 from ..operators.ranking import average_rank
 
 PCT = "assignment_percentile_ranks"
@@ -53,7 +54,7 @@ def procrastination_scores(ranked: DataFrame, extra_keys: Sequence[str] = ()) ->
 
 def with_scores(ranked: DataFrame) -> DataFrame:
     """Submission-level rows with the five per-(user, course) scores joined back."""
-    return ranked.join(procrastination_scores(ranked), ["user_id", "course_id"], "left")
+    return join_back(ranked, procrastination_scores(ranked), ["user_id", "course_id"], "left", "scores")
 
 
 def first_rows(ranked: DataFrame, extra_keys: Sequence[str] = (), extra_aggs: Sequence = ()) -> DataFrame:

@@ -54,7 +54,7 @@ def test_submissions_scans_of_the_large_tables(spark):
 def test_few_curves_are_broadcast(spark):
     ranked = R.ranked(spark, SF)
     plan = initial_plan(X.kde_by(S.with_scores(ranked), "gender"))
-    assert "SortMergeJoin [level" not in plan
+    assert "SortMergeJoin [level" not in plan and "BroadcastHashJoin [level" in plan
 
 
 def test_audit_works_on_its_cells(spark):
