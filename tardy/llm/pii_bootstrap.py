@@ -1,11 +1,15 @@
 """Personal data by bootstrapped contextual extraction, DataFrame functions only.
 
-Seeds are what the base patterns (email, ip, card, phone) find. The words
-before a seed form a lexical pattern. In a graph of patterns and instances
-(identifier-like strings) Spark scores both in turns: a pattern of a kind is as
-good as the share of its distinct instances that are of the kind; an instance
+Seeds are what the base patterns (email, ip, card, phone) find. Identifier-like
+words (with a digit or ``@``) are instances, and the whole words around one form
+its lexical patterns: the two before it, the two after it, and the one on either
+side (digits as 0, so that parts of an identifier are context of each other). In
+a graph of patterns and instances Spark scores both in turns: a pattern of a kind
+is as good as the share of its distinct instances that are of the kind; an instance
 is of the kind unless all its patterns err. Patterns of high confidence and
-support mark the unseen identifiers they stand before.
+support mark the unseen instances they stand at. An unseen instance found
+so that names itself (seven digits or ``@``) is marked wherever it stands.
+Marked neighbours of one kind become one span.
 
 Defined results: null text counts as empty and has no spans; positions are code
 points, end exclusive; equal rows get equal spans, while an instance counts
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
-from .common import WS, bind, cut_text, lower_ascii, prefix_sums, small_side, text_blocks, whole
+from .common import NOT_WS, bind, cut_text, lower_ascii, prefix_sums, small_side, text_blocks, whole, words
 
 # The base patterns, leftmost and non-overlapping. Possessive quantifiers and
 # a start that is either the end of the last match or not inside a run give the
@@ -44,19 +48,22 @@ BASE = {
 KINDS = tuple(BASE)
 #: Cheap conditions without which a pattern cannot match.
 NEEDS = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-# Identifier-like strings: groups of digits, or a token with a digit or "@".
-TOKEN = r"[A-Za-z0-9@._%+-]"
-INSTANCE = rf"(?<!{TOKEN})(?:[(+]?[0-9](?:[\x20().-]{{0,3}}[0-9])++(?![A-Za-z@_%])|(?={TOKEN}*?[0-9@]){TOKEN}++)"
+# Identifier-like strings: words with a digit or "@", and what is left of one
+# without the punctuation around it.
+INSTANCE = rf"(?<!{NOT_WS}){NOT_WS}*?[0-9@]{NOT_WS}*+"
+LEAD, CORE = r"^[^\p{L}0-9+@]*+", r"(?s)^[^\p{L}0-9+@]*+(.*[\p{L}0-9])"
 
 
 @dataclass(frozen=True)
 class Bootstrap:
     min_support: float = 3.0
     min_confidence: float = 0.8
-    min_digits: int = 4
+    #: An instance of so many digits (or with "@") is the same one elsewhere.
+    own_digits: int = 7
+    #: Marked spans of one kind so near to each other are one.
+    join_chars: int = 3
     #: The rounds end when no confidence rises by more and no pattern is new.
     tolerance: float = 1e-6
-    context_chars: int = 48
 
 
 def _digits(value: Column) -> Column:
@@ -82,9 +89,9 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(rows: DataFrame, pattern: str, needs: str, names: list[str], out: str, context: int = 0) -> DataFrame:
-    """Adds ``out``: array<struct<s, e, v[, left]>> of all matches in ``_t``.
-    The text between matches gives their places and the words before them."""
+def _matches(rows: DataFrame, pattern: str, needs: str, names: list[str], out: str) -> DataFrame:
+    """Adds ``out``: array<struct<s, e, v>> of all matches in ``_t``. The text
+    between matches gives their places."""
     none = F.array().cast("array<string>")
     there = F.col("_t").rlike(needs)
     cut = rows.select(
@@ -102,18 +109,23 @@ def _matches(rows: DataFrame, pattern: str, needs: str, names: list[str], out: s
             start(i).alias("s"),
             (start(i) + F.length(v)).alias("e"),
             v.alias("v"),
-            *([_context(F.get("_p", i), context).alias("left")] if context else []),
         ),
     )
     return placed.select(*names, "_t", spans.alias(out))
 
 
-def _context(before: Column, chars: int) -> Column:
-    """The last two words before a match (digits as 0, white space as one
-    space), or null without a word."""
-    near = F.regexp_replace(lower_ascii(F.substring(before, -chars, chars)), WS + "+", " ")
-    two = F.regexp_extract(F.regexp_replace(near, "[0-9]", "0"), r"(?:[^ ]+ )?[^ ]+ ?$", 0)
-    return F.when(two.rlike(r"\p{L}"), two)
+def _patterns(ws: Column, at: Column) -> Column:
+    """The patterns around word ``at``: two words before it (one at the start of
+    the text), two after it, one on either side. Long ones by their digest."""
+    word = lambda i: F.when(i >= 0, F.get(ws, i))
+    before2, before, after, after2 = word(at - 2), word(at - 1), word(at + 1), word(at + 2)
+    made = F.array(
+        F.concat(F.lit("L "), F.coalesce(F.concat(before2, F.lit(" ")), F.lit("")), before),
+        F.concat(F.lit("R "), after, F.lit(" "), after2),
+        F.concat(F.lit("S "), before, F.lit(" "), after),
+    )
+    plain = F.transform(made, lambda p: F.regexp_replace(lower_ascii(p), "[0-9]", "0"))
+    return F.transform(F.filter(plain, lambda p: p.isNotNull()), lambda p: F.when(F.length(p) > 64, F.sha2(p, 256)).otherwise(p))
 
 
 def _validity(kind: str):
@@ -126,30 +138,48 @@ def _of_kind(found: Column, n: int) -> Column:
 
 def with_matches(docs: DataFrame, keep: list[Column], text: str | Column = "text", model: Bootstrap = Bootstrap()) -> DataFrame:
     """``keep``, ``_t``, ``_base`` (array<struct<k, s, e>>, k the kind's place)
-    and ``_inst`` (array<struct<s, e, v, left, k>>, k null if not a seed)."""
+    and ``_inst`` (array<struct<s, e, v, own, left, k>>: own if the value names
+    itself, left its patterns, k null if not a seed)."""
     rows = docs.select(*keep, whole(text).alias("_t"))
     names = [c for c in rows.columns if c != "_t"]
     for kind in KINDS:
         rows = _matches(rows, BASE[kind], NEEDS[kind], names, f"_{kind}")
         names = [*names, f"_{kind}"]
-    rows = _matches(rows, INSTANCE, "[0-9@]", names, "_found", model.context_chars)
+    rows = _matches(rows, INSTANCE, "[0-9@]", names, "_found")
     kept = names[: -len(KINDS)]
     base = F.concat(*[_of_kind(F.filter(f"_{k}", _validity(k)), n) for n, k in enumerate(KINDS)])
-    some = rows.select(*kept, "_t", base.alias("_base"), "_found")
-    likely = lambda x: (F.length(_digits(x["v"])) >= model.min_digits) | x["v"].contains("@")
-    kind = lambda x: F.array_min(F.transform(F.filter("_base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])), lambda b: b["k"]))
+    split = F.when(F.size("_found") > 0, words(F.col("_t"))).otherwise(F.array().cast("array<string>"))
+    some = rows.select(*kept, "_t", base.alias("_base"), "_found", split.alias("_w"))
+    numbered = F.filter(F.transform("_w", lambda w, i: F.when(w.rlike("[0-9@]"), i)), lambda i: i.isNotNull())
+    some = some.withColumn("_at", numbered)  # the n-th match is the n-th such word
+    kind = lambda s, e: F.array_min(F.transform(F.filter("_base", lambda b: (b["s"] < e) & (b["e"] > s)), lambda b: b["k"]))
+    core = F.transform(
+        "_found",
+        lambda x, n: F.struct(
+            (x["s"] + F.length(F.regexp_extract(x["v"], LEAD, 0))).alias("s"), F.regexp_extract(x["v"], CORE, 1).alias("v"), F.get("_at", n).alias("at")
+        ),
+    )
     inst = F.transform(
-        F.filter("_found", lambda x: likely(x) & x["left"].isNotNull()),
-        lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.xxhash64(x["v"]).alias("v"), x["left"].alias("left"), kind(x).alias("k")),
+        F.filter(core, lambda x: F.length(x["v"]) > 0),
+        lambda x: F.struct(
+            x["s"].alias("s"),
+            (x["s"] + F.length(x["v"])).alias("e"),
+            F.xxhash64(x["v"]).alias("v"),
+            ((F.length(_digits(x["v"])) >= model.own_digits) | x["v"].contains("@")).alias("own"),
+            _patterns(F.col("_w"), x["at"]).alias("left"),
+            kind(x["s"], x["s"] + F.length(x["v"])).alias("k"),
+        ),
     )
     return some.select(*kept, "_t", "_base", inst.alias("_inst"))
 
 
-def learn_patterns(matched: DataFrame, model: Bootstrap = Bootstrap()) -> DataFrame | None:
-    """``p`` (pattern) and ``k`` (its best kind's place) of all confident
-    patterns, as a written table; None if there is nothing to mark."""
-    pairs = matched.select(F.explode("_inst").alias("x")).groupBy(F.col("x.left").alias("p"), F.col("x.v").alias("v"))
-    pairs = pairs.agg(F.min("x.k").alias("k"), F.max(F.col("x.k").isNull()).alias("unseen"))
+def learn_patterns(matched: DataFrame, model: Bootstrap = Bootstrap()) -> tuple[DataFrame, DataFrame] | None:
+    """Written tables ``p`` (pattern), ``k`` (its best kind's place), ``conf`` of
+    all confident patterns, and ``v``, ``k``, ``conf`` of the unseen instances that
+    they find; None if there is nothing to mark."""
+    each = matched.select(F.explode("_inst").alias("x")).select("x.v", "x.k", F.explode("x.left").alias("p"))
+    pairs = each.groupBy("p", "v")
+    pairs = pairs.agg(F.min("k").alias("k"), F.max(F.col("k").isNull()).alias("unseen"))
     # The support is at most the number of instances, seeds or not.
     often = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= model.min_support)
     edges = materialize(pairs.join(often, "p"), "pattern_instances")
@@ -172,24 +202,42 @@ def learn_patterns(matched: DataFrame, model: Bootstrap = Bootstrap()) -> DataFr
         found = edges.where("k IS NULL").select("p", "v").join(patterns.select("p", "k", "conf"), "p").groupBy("v", "k").agg((1 - F.exp(erring)).alias("score"))
         scores = materialize(seeds.unionByName(found).groupBy("v", "k").agg(F.max("score").alias("score")), "instance_scores")
     best = patterns.groupBy("p").agg(F.max(F.struct("conf", "support", -F.col("k"))).alias("b"))
-    return materialize(best.select("p", (-F.col("b.col3")).cast("int").alias("k")), "best_patterns")
+    best = materialize(best.select("p", (-F.col("b.col3")).cast("int").alias("k"), F.col("b.conf").alias("conf")), "best_patterns")
+    sure = scores.where(F.col("score") >= model.min_confidence).groupBy("v").agg(F.max(F.struct("score", -F.col("k"))).alias("b"))
+    new = sure.join(edges.where("k IS NULL").select("v").distinct(), "v", "left_semi")
+    return best, materialize(new.select("v", (-F.col("b.col2")).cast("int").alias("k"), F.col("b.score").alias("conf")), "found_instances")
+
+
+def _joined(spans: Column, gap: int) -> Column:
+    """Sorted spans (s, e, k), neighbours of one kind made one."""
+    none = F.array().cast("array<struct<s:bigint,e:bigint,k:int>>")
+    last = lambda acc: F.get(acc, F.size(acc) - 1)
+    merge = lambda acc, x: F.when(
+        (F.size(acc) > 0) & (last(acc)["k"] == x["k"]) & (x["s"] - last(acc)["e"] <= gap),
+        F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))),
+    ).otherwise(F.concat(acc, F.array(x)))
+    return F.transform(F.aggregate(F.sort_array(spans), none, merge), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
 
 
-def mark(matched: DataFrame, key: str, patterns: DataFrame) -> DataFrame:
+def mark(matched: DataFrame, key: str, patterns: DataFrame, instances: DataFrame, model: Bootstrap = Bootstrap()) -> DataFrame:
     """``key`` and ``_added`` (array<struct<k, s, e>>): the instances that touch
-    no base span and stand after a confident pattern. Rows of one key are equal."""
-    unseen = matched.select(key, F.explode("_inst").alias("x")).where("x.k IS NULL").select(key, "x.s", "x.e", F.col("x.left").alias("p"))
-    spans = unseen.join(small_side(patterns), "p").groupBy(key).agg(F.collect_set(F.struct("k", "s", "e")).alias("_added"))
-    return materialize(spans, "marked_spans")
+    no base span and stand at a confident pattern, or name themselves and were
+    found elsewhere; the surest kind is taken. Rows of one key are equal."""
+    unseen = matched.select(key, F.explode("_inst").alias("x")).where("x.k IS NULL").select(key, "x.*")
+    by_pattern = unseen.select(key, "s", "e", F.explode("left").alias("p")).join(small_side(patterns), "p").select(key, "s", "e", "k", "conf")
+    by_value = unseen.where("own").select(key, "s", "e", "v").join(small_side(instances), "v").select(key, "s", "e", "k", "conf")
+    best = by_pattern.unionByName(by_value).groupBy(key, "s", "e").agg(F.max(F.struct("conf", -F.col("k"))).alias("b"))
+    spans = best.groupBy(key).agg(F.collect_list(F.struct("s", "e", (-F.col("b.col2")).cast("int").alias("k"))).alias("_l"))
+    return materialize(spans.select(key, _joined(F.col("_l"), model.join_chars).alias("_added")), "marked_spans")
 
 
 def add_spans(rows: DataFrame, key: str, matched: DataFrame, model: Bootstrap) -> DataFrame:
     """``rows`` with ``_added``, by ``key``, from what ``matched`` teaches."""
     none = F.array().cast("array<struct<k:int,s:bigint,e:bigint>>")
-    patterns = learn_patterns(matched, model)
-    if patterns is None or patterns.isEmpty():
+    learned = learn_patterns(matched, model)
+    if learned is None or learned[0].isEmpty():
         return rows.withColumn("_added", none)
-    return rows.join(small_side(mark(matched, key, patterns)), key, "left").withColumn("_added", F.coalesce("_added", none))
+    return rows.join(small_side(mark(matched, key, *learned, model)), key, "left").withColumn("_added", F.coalesce("_added", none))
 
 
 def all_spans() -> Column:
