@@ -48,6 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import value_positions
 from ..sources.tables import materialize
 from .common import each_text, small_side, whole
 
@@ -518,9 +519,36 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small.where("u <> v").distinct(), "edges")
 
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def numbered(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """Written ``_name``, ``_no``: the distinct ids in order as longs, which keep
+    their order; None if the ids are integers already."""
+    if dict(docs.dtypes)[id_col] in INTEGERS:
+        return None
+    names = docs.select(F.col(id_col).alias("_name"), F.lit(0).alias("_all")).where("_name IS NOT NULL").distinct()
+    return materialize(value_positions(names, ["_all"], "_name").select("_name", F.col("_below").alias("_no")), "id_numbers")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", how: Join = Join()) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id`` (the
-    smallest id reachable by links, its own included), ``component_size``."""
+    smallest id reachable by links, its own included), ``component_size``.
+    Ids may be of any type that has an order."""
+    names = numbered(docs, id_col)
+    if names is None:
+        return _components_of(docs, text, id_col, how)[0].drop("_cls")
+    rows = docs.select(F.col(id_col).alias("_name"), F.col(text).alias("_text"))
+    rows = materialize(rows.join(small_side(names), "_name", "left").select(F.col("_no").alias("_id"), "_text"), "numbered_docs")
+    found = _components_of(rows, "_text", "_id", how)[0]
+    of = lambda no, name: small_side(names).select(F.col("_no").alias(no), F.col("_name").alias(name))
+    out = found.join(of("_id", id_col), "_id", "left").join(of("component_id", "_component"), "component_id", "left")
+    return out.select(id_col, "n_shingles", F.col("_component").alias("component_id"), "component_size")
+
+
+def _components_of(docs: DataFrame, text: str, id_col: str, how: Join) -> tuple[DataFrame, int]:
+    """``near_duplicates`` of integer ids with ``_cls``, the class of the row's
+    words (null without words), and the seed of the classes."""
     described, seed = describe(docs, text, id_col, how)
     rows = described.where("piece IS NULL")
     classes = materialize(rows.where("n > 0").groupBy("cls").agg(F.min("_id").alias("_id"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("docs")), "classes")
@@ -568,15 +596,39 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     named = classes.select("cls", "_id", "docs").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     names = named.groupBy("comp").agg(F.min("_id").alias("component_id"), F.sum("docs").alias("component_size"))
     names = named.select("cls", "comp").join(names, "comp").select("cls", "component_id", "component_size")
-    linked = rows.where("n > 0").join(names, "cls").select("_id", "n", "component_id", "component_size")
-    alone = rows.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"), F.lit(1).cast("bigint").alias("component_size"))
-    return linked.unionByName(alone).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "component_size")
+    size = F.lit(1).cast("bigint").alias("component_size")
+    linked = rows.where("n > 0").join(names, "cls").select("_id", "n", "component_id", "component_size", "cls")
+    alone = rows.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"), size, F.lit(None).cast("bigint").alias("cls"))
+    out = linked.unionByName(alone)
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "component_size", F.col("cls").alias("_cls")), seed
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", how: Join = Join()) -> DataFrame:
-    """The rows of ``docs`` that name their component, all columns unchanged;
-    rows without an id stay."""
-    found = near_duplicates(docs, text, id_col, how)
-    gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "near_duplicate_ids")
-    near = small_side(gone, 1_000_000)
-    return docs.join(near, docs[id_col].cast("bigint") == near["_gone"], "left_anti")
+    """The rows of ``docs`` that name their component, all columns unchanged; rows
+    without an id or without words stay. Rows that share an id are told apart by
+    the class of their words: those whose component has a smaller id go, and of
+    those that name their component one row stays."""
+    names = numbered(docs, id_col)
+    no = F.col(id_col).cast("bigint") if names is None else F.col("_no")
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col), F.col(text).alias("_t"))
+    if names is not None:
+        plain = plain.join(small_side(names), plain[id_col] == names["_name"], "left")
+    rows = plain.select("_row", no.alias("_id"), "_t")
+    found, seed = _components_of(rows, "_t", "_id", how)
+    found = materialize(found.where("_id IS NOT NULL").select("_id", "component_id", "_cls"), "near_duplicate_rows")
+    several = materialize(found.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "repeated_ids")
+    gone = materialize(found.where("_id <> component_id").select(F.col("_id").alias("_gone")).distinct(), "near_duplicate_ids")
+    out = rows.join(small_side(gone, 1_000_000), F.col("_id") == F.col("_gone"), "left_anti").select("_row")
+    if several.isEmpty():
+        return out.select("_row.*")
+    several = small_side(several)
+    out = rows.join(small_side(gone, 1_000_000), F.col("_id") == F.col("_gone"), "left_anti").join(several, "_id", "left_anti").select("_row")
+    again = materialize(rows.join(several, "_id", "left_semi").withColumn("_k", F.monotonically_increasing_id()), "repeated_id_rows")
+    classes = again.select(F.col("_k").alias("_id"), whole(F.col("_t")).alias("t")).mapInArrow(
+        _describe(how, seed), "_id bigint, cls bigint, chk bigint, n bigint, sig binary, piece int, cells binary"
+    )
+    classed = classes.where("piece IS NULL").select(F.col("_id").alias("_k"), F.when(F.col("n") > 0, F.col("cls")).alias("_cls"))
+    named = materialize(again.select("_k", "_id").join(classed, "_k").join(found.distinct(), ["_id", "_cls"], "left"), "repeated_id_classes")
+    first = named.where("_id = component_id").groupBy("component_id").agg(F.min("_k").alias("_k"))
+    stay = first.select("_k").unionByName(named.where("_cls IS NULL").select("_k"))
+    return out.unionByName(again.join(small_side(materialize(stay, "repeated_id_stay")), "_k", "left_semi").select("_row")).select("_row.*")

@@ -11,14 +11,16 @@ the text, and memory is bounded by a block. Only letters count: case is folded
 and each run of other characters becomes a space, in samples and texts alike.
 
 Fitting: for each language the ``sample_docs`` training texts with the smallest
-hash of their id; each gives its first ``sample_chars`` characters, and every
-dictionary is cut to ``dict_bytes``, or to the shortest language's length if
-that is at least half of it, so that no language gains by a longer dictionary.
+hash of their id (parameter). Each gives ``slices`` evenly spaced slices of its
+whole text, of a length by which all sampled texts together fill ``dict_bytes``;
+a dictionary is cut to that, or to the shortest language's length if that is at
+least half of it, so that no language gains much by a longer dictionary.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0
 and not accepted; ties go to the language with more training texts, then
 to the first by name. Rows are
-judged one by one, so repeated rows get the same result. Without any labelled
+judged one by one, so repeated rows get the same result. A null id counts as an
+empty one when rows are dealt to training. Without any labelled
 training text every text is ``und``. Other columns are not read.
 
 Scale: no shuffle but the top-k per language (cut down in each task first).
@@ -44,13 +46,10 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Fit:
     sample_docs: int = 200
-    sample_chars: int = 2000
+    slices: int = 4
     dict_bytes: int = 96_000
     block_bytes: int = 4096
-    #: Texts shorter than this are compressed at ``fine_level``.
-    fine_below: int = 512
     level: int = 6
-    fine_level: int = 12
     min_margin: float = 0.01
 
 
@@ -60,13 +59,22 @@ def letters(text: str) -> bytes:
 
 def is_training(id_col: str, folds: int, held: int) -> Column:
     """crc32 of the id as text, modulo ``folds``, is not ``held``."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds != held
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != held
+
+
+def _slices(text: Column, fit: Fit) -> Column:
+    """Evenly spaced slices of a text, joined by spaces (a short text whole)."""
+    size = fit.dict_bytes // (fit.sample_docs * fit.slices)
+    step = F.floor(F.length(text) / fit.slices)
+    part = lambda i: F.substring(text, (step * i + 1).cast("int"), F.least(step, F.lit(size)).cast("int"))
+    parts = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(fit.slices - 1)), part), " ")
+    return F.when(F.length(text) <= size * fit.slices, text).otherwise(parts)
 
 
 def fit_dictionaries(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", fit: Fit = Fit()) -> dict[str, bytes]:
     """Raw-content dictionaries by language, of bounded size."""
     rows = train.where(F.col(lang).isNotNull() & F.col(text).rlike(LETTER)).select(
-        F.col(lang).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.substring(text, 1, fit.sample_chars).alias("t")
+        F.col(lang).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), _slices(F.col(text), fit).alias("t")
     )
     first = Window.partitionBy("lang").orderBy("h", "i", "t")
     chosen = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= fit.sample_docs).collect()
@@ -85,7 +93,7 @@ class _Sizes:
 
     def __init__(self, dictionaries: dict[str, bytes], fit: Fit):
         self.fit = fit
-        self.coders = {level: [self._coder(d, level) for d in dictionaries.values()] for level in (fit.level, fit.fine_level)}
+        self.coders = [self._coder(d, fit.level) for d in dictionaries.values()]
 
     @staticmethod
     def _coder(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -95,9 +103,8 @@ class _Sizes:
 
     def of(self, text: str) -> list[int]:
         data, n = letters(text), self.fit.block_bytes
-        coders = self.coders[self.fit.fine_level if len(data) < self.fit.fine_below else self.fit.level]
         blocks = [data[i : i + n] for i in range(0, len(data), n)]
-        return [sum(len(c.compress(b)) for b in blocks) for c in coders]
+        return [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[Column], text: str = "text", fit: Fit = Fit()) -> DataFrame:

@@ -160,3 +160,32 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.cls: r.comp for r in signature_join.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
+
+
+def test_langid_null_ids_and_spread_samples(spark):
+    """A null id is dealt to the held-out rows or not, never null; sampled texts
+    are read over their whole length."""
+    docs = spark.createDataFrame([(None, "abc", "x"), (1, "abc", "x"), (5, None, None)], "doc_id bigint, text string, lang string")
+    assert docs.where(zstd_langid.is_training("doc_id", 5, 0).isNull()).count() == 0
+    text = "header words in front " * 400 + "zyxwv utsrq " * 400
+    fit = zstd_langid.Fit(sample_docs=10, dict_bytes=8000)
+    got = zstd_langid.fit_dictionaries(spark.createDataFrame([(i, text, "x") for i in range(10)], "doc_id bigint, text string, lang string"), fit=fit)
+    assert b"header" in got["x"] and got["x"].count(b"zyxwv") > 20 and len(got["x"]) <= 8000
+
+
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    a = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"v{i}" for i in range(80))
+    rows = [(1, a), (2, a + " tail"), (2, other), (3, "x y z"), (3, "x y z"), (4, other + " end"), (5, None), (5, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    left = sorted((r.doc_id or 0, r.text or "") for r in signature_join.drop_near_duplicates(docs).collect())
+    assert left == sorted([(0, a), (1, a), (2, other), (3, "x y z"), (5, ""), (5, "")])
+
+
+def test_near_duplicates_of_ids_of_any_type(spark):
+    a = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", a), ("a", a + " x"), ("c", "one two"), (None, "three"), ("10", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.component_id for r in signature_join.near_duplicates(docs).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", None: None, "10": "10"}
+    assert sorted(r.doc_id or "" for r in signature_join.drop_near_duplicates(docs).collect()) == ["", "10", "a", "c"]
