@@ -57,8 +57,8 @@ def _keys_not_null(keys: Sequence[str]) -> Column:
     return cond
 
 
-def _local_pass(keys: list[str]):
-    """Per range partition: running count of smaller values per group."""
+def _local_pass(keys: list[str], counts: list[str]):
+    """Per range partition: running sums of the counts of smaller values per group."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -69,10 +69,10 @@ def _local_pass(keys: list[str]):
             return
         # A slice has about SLICE_VALUES distinct pairs at most.
         pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
-        grp = pdf.groupby(keys, sort=False, dropna=False)["_n"]
-        csum = grp.cumsum()
-        pdf["_lb"] = (csum - pdf["_n"]).astype("int64")
-        pdf["_seg"] = grp.transform("sum").astype("int64")
+        grp = pdf.groupby(keys, sort=False, dropna=False)
+        for c in counts:
+            pdf[f"_lb{c}"] = (grp[c].cumsum() - pdf[c]).astype("int64")
+            pdf[f"_seg{c}"] = grp[c].transform("sum").astype("int64")
         first_of_key = ~pdf.duplicated(subset=keys, keep="first")
         key_tuple = pdf[keys].iloc[[0, -1]]
         is_first = np.ones(len(pdf), dtype=bool)
@@ -129,36 +129,43 @@ def value_positions(
             F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
         )
 
-    spark = df.sparkSession
+    pos = running_counts(vc, keys, value, ["_n"], num_partitions)
+    return pos.select(*keys, value, "_n", F.col("_below_n").alias("_below"), F.col("_total_n").alias("_total"))
+
+
+def running_counts(
+    vc: DataFrame, keys: Sequence[str], value: str, counts: Sequence[str], num_partitions: int | None = None
+) -> DataFrame:
+    """``vc`` (distinct non-null ``keys``, ``value`` and count columns) with, for
+    each count column ``c``, ``_below{c}``: its sum over the smaller values of the
+    group, and ``_total{c}``: its sum over the group. Several counts (one per
+    subset of the rows) are summed in the same pass over the same sorted slices."""
+    keys, counts = list(keys), list(counts)
+    spark = vc.sparkSession
     ensure_checkpoint_dir(spark)
-    vc = materialize(vc, "value_counts")
+    vc = materialize(vc.select(*keys, value, *counts), "value_counts")
     p = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(vc.count() / SLICE_VALUES))
     ranged = vc.repartitionByRange(p, *keys, value).sortWithinPartitions(*keys, value)
-    out_schema = T.StructType(
-        list(vc.schema.fields)
-        + [
-            T.StructField("_lb", T.LongType()),
-            T.StructField("_seg", T.LongType()),
-            T.StructField("_edge", T.BooleanType()),
-            T.StructField("_pid", T.IntegerType()),
-        ]
-    )
-    loc = ranged.mapInPandas(_local_pass(keys), out_schema).checkpoint(eager=True)
-    edges = loc.where("_edge").select("_pid", *keys, "_seg")
-    w = Window.partitionBy(*keys).orderBy("_pid")
+    sums = [T.StructField(f"{kind}{c}", T.LongType()) for c in counts for kind in ("_lb", "_seg")]
+    marks = [T.StructField("_edge", T.BooleanType()), T.StructField("_pid", T.IntegerType())]
+    out_schema = T.StructType([*vc.schema.fields, *sums, *marks])
+    loc = ranged.mapInPandas(_local_pass(keys, counts), out_schema).checkpoint(eager=True)
+    edges = loc.where("_edge").select("_pid", *keys, *[f"_seg{c}" for c in counts])
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    of_key = Window.partitionBy(*keys)
     offsets = edges.select(
         "_pid",
         *keys,
-        F.coalesce(F.sum("_seg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_seg").over(Window.partitionBy(*keys)).alias("_tot"),
+        *[F.coalesce(F.sum(f"_seg{c}").over(before), F.lit(0)).alias(f"_off{c}") for c in counts],
+        *[F.sum(f"_seg{c}").over(of_key).alias(f"_tot{c}") for c in counts],
     )
     # offsets has <= 2 rows per range partition: safe to broadcast.
     return loc.join(F.broadcast(offsets), ["_pid", *keys], "left").select(
         *keys,
         value,
-        "_n",
-        (F.coalesce("_off", F.lit(0)) + F.col("_lb")).alias("_below"),
-        F.coalesce("_tot", "_seg").alias("_total"),
+        *counts,
+        *[(F.coalesce(f"_off{c}", F.lit(0)) + F.col(f"_lb{c}")).alias(f"_below{c}") for c in counts],
+        *[F.coalesce(f"_tot{c}", f"_seg{c}").alias(f"_total{c}") for c in counts],
     )
 
 

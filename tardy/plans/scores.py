@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dedupe import first_values
 from ..operators.joinback import join_back
 from ..operators.ranking import average_rank
 
@@ -57,31 +58,22 @@ def with_scores(ranked: DataFrame) -> DataFrame:
     return join_back(ranked, procrastination_scores(ranked), ["user_id", "course_id"], "left", "scores")
 
 
-def first_rows(ranked: DataFrame, extra_keys: Sequence[str] = (), extra_aggs: Sequence = ()) -> DataFrame:
+def first_rows(ranked: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
     """One row per (user, course): the earliest due date (nulls last), then
     earliest submission, then lowest assignment id; remaining columns break
-    any further tie. A single aggregate, combined map-side; ``extra_aggs``
-    are computed in the same pass."""
+    any further tie."""
     keys = [*extra_keys, "user_id", "course_id"]
     carried = [c for c in STUDENT_COURSE_COLS if c not in keys and c in ranked.columns]
-    order = F.struct(
-        F.col("due_date").isNull().alias("_dn"),
-        F.col("due_date").alias("_d"),
-        F.col("submitted_at").alias("_s"),
-        F.col("assignment_id").alias("_a"),
-        *[F.col(c).alias(f"_c_{c}") for c in carried],
-    )
-    agg = ranked.groupBy(*keys).agg(F.min(order).alias("_first"), *extra_aggs)
-    extra = [c for c in agg.columns if c not in keys and c != "_first"]
-    return agg.select(*keys, *[F.col(f"_first._c_{c}").alias(c) for c in carried], *extra)
+    order = [F.col("due_date").isNull(), F.col("due_date"), F.col("submitted_at"), F.col("assignment_id")]
+    return first_values(ranked, keys, carried, order)
 
 
 def student_course_level(ranked: DataFrame, strategy: str | None = None) -> DataFrame:
     """The student-course table: first row per (user, course), the five scores,
-    and the average / percentile rank of final_score within the course. The
-    first row and the scores come from one aggregate."""
+    and the average / percentile rank of final_score within the course."""
+    keys = ["user_id", "course_id"]
     rows = ranked.where(F.col("user_id").isNotNull() & F.col("course_id").isNotNull())
+    first = first_rows(rows).join(procrastination_scores(rows), keys)
     return average_rank(
-        first_rows(rows, extra_aggs=_score_aggs()),
-        ["course_id"], "final_score", "final_score_ranks", "final_score_percentile_ranks", strategy=strategy,
+        first, ["course_id"], "final_score", "final_score_ranks", "final_score_percentile_ranks", strategy=strategy,
     )
