@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import CleanConfig
-from ..sources.fixtures import source_version, warehouse_tables
-from ..sources.tables import scratch_path
+from ..sources.fixtures import forget_warehouse, source_version, warehouse_tables
+from ..sources.tables import new_scratch, remove_all_scratch, write_scratch
 from . import clean as C
 from . import scores as S
 from . import study
@@ -55,19 +55,19 @@ def stage(spark, sf, name, build, *config):
     session and read by every later query. ``forget_stages`` drops them."""
     key = (spark.sparkContext.applicationId, source_version(spark, sf), name, *config)
     if key not in _STAGES:
-        df = build()
-        path = scratch_path(df, name)
-        df.write.mode("overwrite").parquet(path)
-        _STAGES[key] = path
+        _STAGES[key] = write_scratch(build(), name)
     return spark.read.parquet(_STAGES[key])
 
 
 def forget_stages(spark: SparkSession) -> None:
-    """Delete the stage tables this session has written."""
-    for written in (_STAGES, _EXPORTS):
-        for key in [k for k in written if k[0] == spark.sparkContext.applicationId]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(written.pop(key))
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every table this session has written: stages, exports and the
+    scratch tables of operators. DataFrames made before can't be read any more."""
+    app = spark.sparkContext.applicationId
+    for known in (_STAGES, _EXPORTS, _FRAMES):
+        for key in [k for k in known if k[0] == app]:
+            del known[key]
+    forget_warehouse(spark)
+    remove_all_scratch(spark)
 
 
 def subs(spark, sf):
@@ -365,15 +365,27 @@ def default_fit(spark, sf):
     return fitted(spark, sf, "ols", lambda: O.fit(student(spark, sf)))
 
 
+_FRAMES: dict[tuple, tuple] = {}
+
+
 def grid_fit(spark, sf):
-    needed = [*G.NEEDED, "course_size"]
-    build = lambda: C.course_filter(C.with_course_stats(analysis(spark, sf))).select(*needed)
-    s1 = stage(spark, sf, "course_filtered", build)
-    return s1, G.grid_frames(s1)
+    """The rows after the course filter and the grid's frames, written once."""
+    key = (spark.sparkContext.applicationId, source_version(spark, sf))
+    if key not in _FRAMES:
+        needed = [*G.NEEDED, "course_size"]
+        build = lambda: C.course_filter(C.with_course_stats(analysis(spark, sf))).select(*needed)
+        s1 = stage(spark, sf, "course_filtered", build)
+        _FRAMES[key] = (s1, G.grid_frames(s1))
+    return _FRAMES[key]
+
+
+def grid_sums(spark, sf):
+    return stage(spark, sf, "grid_suffstats", lambda: G.grid_suffstats(grid_fit(spark, sf)[1]))
 
 
 def grid_fitted(spark, sf):
-    return fitted(spark, sf, "grid", lambda: G.grid_fit(grid_fit(spark, sf)[1]), ("terms", "levels"))
+    build = lambda: O.fit(None, keys=G.CFG, sfs=grid_sums(spark, sf))
+    return fitted(spark, sf, "grid", build, ("terms", "levels"))
 
 
 @query("ols_suffstats")
@@ -419,8 +431,7 @@ def q_grid_survivors(spark, sf):
 
 @query("grid_suffstats")
 def q_grid_suffstats(spark, sf):
-    _, frames = grid_fit(spark, sf)
-    return G.grid_suffstats(frames)
+    return grid_sums(spark, sf)
 
 
 @query("grid_coeffs")
@@ -459,7 +470,7 @@ def exported(spark, sf):
     key = (spark.sparkContext.applicationId, source_version(spark, sf))
     if key not in _EXPORTS:
         s = subs(spark, sf)
-        path = scratch_path(s, "submissions_csv")
+        path = new_scratch(s, "submissions_csv")
         csv_io.export_csv(s, path)
         _EXPORTS[key] = path
     return _EXPORTS[key]
@@ -476,7 +487,7 @@ def q_csv_scan(spark, sf):
 def q_export_csv(spark, sf):
     """Round trip of timestamps with microseconds through a CSV export."""
     W.query(wh(spark, sf), "SELECT 1")  # registers the views
-    path = scratch_path(subs(spark, sf), "query_csv")
+    path = new_scratch(wh(spark, sf).course_dim, "query_csv")
     csv_io.query_to_csv(
         spark, "SELECT id, timestampadd(MICROSECOND, cast(id % 1000000 AS int), submitted_at) AS submitted_at FROM submission_dim", path
     )

@@ -218,23 +218,27 @@ def warehouse_tables(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The derived warehouse, written once per session and version of the data folder as
     Parquet under the checkpoint folder (a stand-in for the LMS warehouse's
     own tables), then read back by every query."""
-    from .tables import scratch_path
-
     key = (spark.sparkContext.applicationId, source_version(spark, sf_dir))
     path = _WRITTEN.get(key)
     if path is None:
-        from .tables import materialize
+        from .tables import materialize, new_scratch
 
         # the lineitem x orders join and its aggregate run once; all nine
         # tables are derived from this written grain
         grain = materialize(submission_grain(spark, sf_dir), "fixture_grain")
         wh = build_warehouse(spark, sf_dir, grain)
-        path = scratch_path(wh.course_dim, "warehouse")
+        path = new_scratch(wh.course_dim, "warehouse")
         write_warehouse(wh, path)
         _WRITTEN[key] = path
     return read_warehouse(spark, path)
 
 
+def forget_warehouse(spark: SparkSession) -> None:
+    """Forget this session's warehouses; their tables go with the other scratch tables."""
+    for key in [k for k in _WRITTEN if k[0] == spark.sparkContext.applicationId]:
+        del _WRITTEN[key]
+
+
 def read_warehouse(spark: SparkSession, path: str) -> Warehouse:
     """Read a warehouse written by :func:`write_warehouse` (or exported from a real LMS)."""
     names = Warehouse.__dataclass_fields__.keys()

@@ -25,11 +25,17 @@ def scratch_path(df: DataFrame, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def new_scratch(df: DataFrame, name: str) -> str:
+    """A new folder to write to, tracked like those of ``write_scratch``."""
+    path = scratch_path(df, name)
+    _WRITTEN.add(path)
+    return path
+
+
 def write_scratch(df: DataFrame, name: str) -> str:
     """Write ``df`` as Parquet under the checkpoint folder; returns the folder."""
-    path = scratch_path(df, name)
+    path = new_scratch(df, name)
     df.write.mode("overwrite").parquet(path)
-    _WRITTEN.add(path)
     return path
 
 

@@ -55,3 +55,19 @@ def test_ordered_by_count(spark):
     counts = [r.enrollments for r in registry.QUERIES["top_courses"](spark, SF).collect()]
     assert counts == sorted(counts, reverse=True)
     assert len(counts) == registry.QUERIES["course_enrollments"](spark, SF).count()
+
+
+def test_no_scratch_table_is_left(spark):
+    """All tables of a session are tracked, and gone once it forgets them."""
+    import glob
+    import os
+
+    from tardy.session import ensure_checkpoint_dir as folder
+
+    at = os.path.join(folder(spark).removeprefix("file:"), "tables")
+    registry.QUERIES["grid_suffstats"](spark, SF).count()
+    registry.QUERIES["export_csv"](spark, SF).count()
+    assert glob.glob(f"{at}/*")
+    registry.forget_stages(spark)
+    assert not glob.glob(f"{at}/*")
+    assert registry.QUERIES["grid_survivors"](spark, SF).count() == 108
