@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import null_tokens, parse_timestamp
+from .csv_split import read_split_csv
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -49,6 +50,8 @@ def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         .option("escape", '"')
         .option("nullValue", "")
         .option("emptyValue", '""')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("timestampNTZFormat", TS_FORMAT)
         .option("timestampFormat", TS_FORMAT)
         .csv(path)
@@ -64,16 +67,13 @@ def read_csv(
     multi_line: bool = True,
 ) -> DataFrame:
     """Read headed CSV, keep ``columns`` (in the file's order) and cast them.
-    Line breaks inside fields keep a file from being split, each file is then
-    read by one task; ``multi_line=False`` reads files without them in splits."""
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    Files are read in splits also where fields hold line breaks
+    (``csv_split``); ``multi_line=False`` saves its passes over the quotes for
+    files that are known to hold none."""
+    if multi_line:
+        raw = read_split_csv(spark, path)
+    else:
+        raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("mode", "FAILFAST").csv(path)
     types = types or {}
     wanted = [c for c in raw.columns if columns is None or c in columns]
     missing = [c for c in (columns or []) if c not in raw.columns]

@@ -11,8 +11,6 @@ from tardy.plans import clean as C
 from tardy.plans import grid as G
 from tardy.plans import scores as S
 
-A, Z = (0.2, 0.45, 0.6), (0.1, 0.5, 0.8)
-
 
 def submissions(spark, seed=3, varied=True):
     """Two courses; resubmissions, missing times and users; students whose
@@ -36,6 +34,7 @@ def submissions(spark, seed=3, varied=True):
 @pytest.mark.parametrize("varied", [True, False])
 def test_cube_equals_plain_filters(spark, varied):
     s1 = C.course_filter(C.with_course_stats(submissions(spark, varied=varied)))
+    A, Z = ((0.2, 0.6), (0.1, 0.8)) if varied else ((0.2, 0.45, 0.6), (0.1, 0.5))
     frames = G.grid_frames(s1, A, Z, (1, 3), (2, 5))
     got, counts = {}, {}
     for r in G.student_responses(frames).collect():
@@ -54,7 +53,7 @@ def test_cube_equals_plain_filters(spark, varied):
                 want[a, z, r.user_id, r.course_id] = (round(y, 9) if y is not None else None, r.gender, r.ethnicity, r.is_a_urm, r.first_gen_status)
             for r in s3.groupBy("course_id").agg(F.countDistinct("assignment_id").alias("a"), F.countDistinct("user_id").alias("u"), F.count(F.lit(1)).alias("n")).collect():
                 want_counts[a, z, r.course_id] = (r.a, r.u, r.n)
-    assert len(want) > 60 and len({k[:2] for k in want}) > 4
+    assert len(want) > 30 and len({k[:2] for k in want}) > 2
     if not varied:
         assert got == want and counts == want_counts
     else:  # the plain run's first row also breaks ties by columns the grid has not
