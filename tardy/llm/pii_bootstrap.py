@@ -151,16 +151,15 @@ def with_matches(docs: DataFrame, keep: list[Column], text: str | Column = "text
     split = F.when(F.size("_found") > 0, words(F.col("_t"))).otherwise(F.array().cast("array<string>"))
     some = rows.select(*kept, "_t", base.alias("_base"), "_found", split.alias("_w"))
     numbered = F.filter(F.transform("_w", lambda w, i: F.when(w.rlike("[0-9@]"), i)), lambda i: i.isNotNull())
-    some = some.withColumn("_at", numbered)  # the n-th match is the n-th such word
     kind = lambda s, e: F.array_min(F.transform(F.filter("_base", lambda b: (b["s"] < e) & (b["e"] > s)), lambda b: b["k"]))
-    core = F.transform(
-        "_found",
+    core = lambda at: F.transform(
+        "_found",  # the n-th match is the n-th word with a digit or "@"
         lambda x, n: F.struct(
-            (x["s"] + F.length(F.regexp_extract(x["v"], LEAD, 0))).alias("s"), F.regexp_extract(x["v"], CORE, 1).alias("v"), F.get("_at", n).alias("at")
+            (x["s"] + F.length(F.regexp_extract(x["v"], LEAD, 0))).alias("s"), F.regexp_extract(x["v"], CORE, 1).alias("v"), F.get(at, n).alias("at")
         ),
     )
     inst = F.transform(
-        F.filter(core, lambda x: F.length(x["v"]) > 0),
+        F.filter(bind(numbered, core), lambda x: F.length(x["v"]) > 0),
         lambda x: F.struct(
             x["s"].alias("s"),
             (x["s"] + F.length(x["v"])).alias("e"),
@@ -266,7 +265,9 @@ def redact(docs: DataFrame, text: str = "text", model: Bootstrap = Bootstrap())
     texts stay null. Texts are matched twice, and shuffled (once) only if
     more of them get added spans than are broadcast."""
     key = F.sha2(whole(text), 256).alias("_key")
-    learned = materialize(with_matches(docs, [key], text, model).where(F.size("_inst") > 0).select("_key", "_inst"), "pii_instances")
+    # A condition on the instances themselves would compute them a second time.
+    some = docs.where(whole(text).rlike("[0-9@]"))
+    learned = materialize(with_matches(some, [key], text, model).select("_key", "_inst"), "pii_instances")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     keyed = add_spans(docs.select(row, key), "_key", learned, model)
     rows = with_matches(keyed, [F.col("_row"), F.col("_added")], F.col(f"_row.`{text}`"), model)
