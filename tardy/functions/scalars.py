@@ -50,8 +50,3 @@ def parse_timestamp(c: str | Column, lenient: bool = False) -> Column:
     if lenient:
         return F.try_to_timestamp(c).cast("timestamp_ntz")
     return F.to_timestamp_ntz(c)
-
-
-def pick_key(seed: int, c: str | Column) -> Column:
-    """Engine-independent pseudo-random order: md5 of 'seed:value'."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), col_of(c).cast("string")))

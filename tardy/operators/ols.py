@@ -6,15 +6,15 @@ fixed-size object per model:
 
 1. ``suffstats``: per (model keys, cluster, covariate pattern) the count,
    sum(y) and sum(y^2) -- a map-side combined aggregate over the rows;
-2. ``design_levels``: sorted levels per covariate, the first is the
-   reference; every other level is a dummy term;
-3. normal equations per model from pattern totals (at most the product of
-   the level counts rows per model), solved in ``applyInPandas``: beta,
-   (X'X)^+ and fit statistics;
-4. per-cluster score vectors s_g = sum x * (sum y - n * x'beta) and their
+2. one ``applyInPandas`` per model on its pattern totals (at most the product of
+   the level counts rows): sorted levels, dummy terms (the first level is the
+   reference), the normal equations' beta, (X'X)^+, fit statistics, and for every
+   pattern its active terms and fitted value; written;
+3. per-cluster score vectors s_g = sum x * (sum y - n * fitted) and their
    outer products, summed per model on Spark (p^2 values per cluster);
-5. a last ``applyInPandas`` per model on p x p matrices: covariance
-   c * B M B with c = G/(G-1) * (N-1)/(N-p), normal p-values and 95 % bounds.
+4. a last ``applyInPandas`` per model on p x p matrices: covariance
+   c * B M B with c = G/(G-1) * (N-1)/(N-p), normal p-values and 95 % bounds;
+   written, and read for the terms and for the covariance.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from ..config import COVARIATES, RESPONSE
 from ..sources.tables import materialize
+from .joinback import small_or_shuffled
 
 RCOND = 1e-10
 Z975 = 1.959963984540054
@@ -86,35 +87,22 @@ def design_levels(sfs: DataFrame, keys: Sequence[str] = (), factors: Sequence[st
     )
 
 
-def with_active_terms(sfs: DataFrame, levels: DataFrame, keys: Sequence[str] = (), factors: Sequence[str] = COVARIATES) -> DataFrame:
-    """Attach ``_active``: the term indices switched on for the row's pattern
-    (intercept always). The level tables grow with the models: no broadcast
-    hint, adaptive execution decides from their sizes."""
-    keys = list(keys)
-    out = sfs
-    for f in factors:
-        lt = levels.where(F.col("factor") == f).select(*keys, F.col("level").alias(f), F.col("term_idx").alias(f"_t_{f}"))
-        out = out.join(lt, [*keys, f], "left")
-    act = F.filter(F.array(F.lit(0), *[F.col(f"_t_{f}") for f in factors]), lambda t: t.isNotNull())
-    n_terms = levels.groupBy(*keys).agg((F.max(F.coalesce("term_idx", F.lit(0))) + 1).alias("_p"))
-    return out.withColumn("_active", act).drop(*[f"_t_{f}" for f in factors]).join(n_terms, keys)
-
+def _term(factor: str, level: str) -> str:
+    return f"C({factor})[T.{level}]"
 
-_SOLVE_COLS = [
-    T.StructField("kind", T.StringType()),
-    T.StructField("i", T.IntegerType()),
-    T.StructField("j", T.IntegerType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("value", T.DoubleType()),
-]
 
-
-def _solve_beta(keys: list[str]):
+def _solve(keys: list[str], factors: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = int(pdf["_p"].iloc[0])
+        levels = [sorted(pdf[f].unique()) for f in factors]
+        number, term_of = 1, []
+        for values in levels:
+            term_of.append({v: number + k - 1 for k, v in enumerate(values) if k})
+            number += len(values) - 1
+        p = number
+        active = [[0, *[t[v] for t, v in zip(term_of, row, strict=True) if v in t]] for row in pdf[factors].itertuples(index=False)]
         X = np.zeros((len(pdf), p))
-        for r, act in enumerate(pdf["_active"]):
-            X[r, list(act)] = 1.0
+        for r, act in enumerate(active):
+            X[r, act] = 1.0
         n = pdf["n"].to_numpy(float)
         sy = pdf["sy"].to_numpy(float)
         syy = float(pdf["syy"].sum())
@@ -139,18 +127,21 @@ def _solve_beta(keys: list[str]):
         bic = -2 * llf + math.log(N) * (df_model + 1)
         stats = dict(nobs=N, rank=rank, df_model=df_model, df_resid=df_resid, rsquared=r2,
                      rsquared_adj=r2a, llf=llf, aic=aic, bic=bic, ssr=ssr)
-        rows = [("coef", i, -1, None, float(beta[i])) for i in range(p)]
-        rows += [("bread", i, j, None, float(bread[i, j])) for i in range(p) for j in range(p)]
-        rows += [("stat", -1, -1, k, float(v)) for k, v in stats.items()]
-        out = pd.DataFrame(rows, columns=["kind", "i", "j", "name", "value"])
+        none = [None] * len(factors)
+        rows = [("coef", i, -1, None, float(beta[i]), p, None, *none) for i in range(p)]
+        rows += [("bread", i, j, None, float(bread[i, j]), p, None, *none) for i in range(p) for j in range(p)]
+        rows += [("stat", -1, -1, k, float(v), p, None, *none) for k, v in stats.items()]
+        rows += [("level", f, k, v, float(term_of[f].get(v, 0)), p, None, *none) for f, values in enumerate(levels) for k, v in enumerate(values)]
+        rows += [("pattern", -1, -1, None, float(fitted[r]), p, act, *row) for r, (act, row) in enumerate(zip(active, pdf[factors].itertuples(index=False), strict=True))]
+        out = pd.DataFrame(rows, columns=["kind", "i", "j", "name", "value", "_p", "_active", *factors])
         for k in keys:
             out.insert(0, k, pdf[k].iloc[0])
-        return out[keys + ["kind", "i", "j", "name", "value"]]
+        return out[keys + ["kind", "i", "j", "name", "value", "_p", "_active", *factors]]
 
     return run
 
 
-def _finish(keys: list[str]):
+def _finish(keys: list[str], factors: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = int(pdf.loc[pdf.kind == "coef", "i"].max()) + 1
         beta = np.zeros(p)
@@ -162,6 +153,9 @@ def _finish(keys: list[str]):
         M = np.zeros((p, p))
         m = pdf[pdf.kind == "meat"]
         M[m.i.to_numpy(), m.j.to_numpy()] = m.value.to_numpy()
+        names = {0: INTERCEPT}
+        for r in pdf[(pdf.kind == "level") & (pdf.value > 0)].itertuples():
+            names[int(r.value)] = _term(factors[r.i], r.name)
         st = dict(zip(pdf.loc[pdf.kind == "stat", "name"], pdf.loc[pdf.kind == "stat", "value"]))
         N, G = st["nobs"], st["n_clusters"]
         corr = (G / (G - 1.0)) * ((N - 1.0) / (N - p)) if G > 1 and N > p else float("nan")
@@ -172,12 +166,12 @@ def _finish(keys: list[str]):
         pval = np.array([math.erfc(abs(v) / math.sqrt(2.0)) if np.isfinite(v) else float("nan") for v in z])
         rows = []
         for i in range(p):
-            rows.append(("coef", i, -1, float(beta[i]), float(se[i]), float(z[i]), float(pval[i]),
+            rows.append(("coef", i, -1, names[i], None, float(beta[i]), float(se[i]), float(z[i]), float(pval[i]),
                          float(beta[i] - Z975 * se[i]), float(beta[i] + Z975 * se[i])))
         for i in range(p):
             for j in range(p):
-                rows.append(("cov", i, j, float(V[i, j]), None, None, None, None, None))
-        out = pd.DataFrame(rows, columns=["kind", "i", "j", "coef", "se", "z", "p", "ci_low", "ci_high"])
+                rows.append(("cov", i, j, names[i], names[j], float(V[i, j]), None, None, None, None, None))
+        out = pd.DataFrame(rows, columns=["kind", "i", "j", "term_i", "term_j", "coef", "se", "z", "p", "ci_low", "ci_high"])
         for k in keys:
             out.insert(0, k, pdf[k].iloc[0])
         return out
@@ -185,6 +179,14 @@ def _finish(keys: list[str]):
     return run
 
 
+_SOLVED = "kind string, i int, j int, name string, value double, _p int, _active array<int>"
+_FINISHED = "kind string, i int, j int, term_i string, term_j string, coef double, se double, z double, p double, ci_low double, ci_high double"
+
+
+def _schema(fields: list[T.StructField], rest: str, factors: Sequence[str] = ()) -> T.StructType:
+    return T.StructType([*fields, *T._parse_datatype_string(rest).fields, *[T.StructField(f, T.StringType()) for f in factors]])
+
+
 def fit(
     df: DataFrame,
     keys: Sequence[str] = (),
@@ -196,37 +198,33 @@ def fit(
     """Fit one model per ``keys`` value. Returns DataFrames ``terms`` (keys,
     term_idx, term, coef, se, z, p, ci_low, ci_high), ``cov`` (keys, term_i,
     term_j, value), ``fit_stats`` (keys, statistic, value), ``levels`` and
-    ``suffstats``. ``sfs`` may pass precomputed sufficient statistics."""
-    keys = list(keys)
+    ``suffstats``. ``sfs`` may pass sufficient statistics that are already written."""
+    keys, factors = list(keys), list(factors)
     model_keys = keys or ["_model"]
     if sfs is None:
-        sfs = suffstats(df, keys, y, factors, cluster)
-    # Written once: every later step reads this small table (models x
-    # clusters x covariate patterns) instead of recomputing the rows.
-    sfs = materialize(sfs, "ols_suffstats")
+        # Written once: every later step reads this small table (models x
+        # clusters x covariate patterns) instead of recomputing the rows.
+        sfs = materialize(suffstats(df, keys, y, factors, cluster), "ols_suffstats")
     if not keys:
         sfs = sfs.withColumn("_model", F.lit(0))
-    # tiny (models x levels) and read by several branches: written once
-    levels = materialize(design_levels(sfs, model_keys, factors), "ols_levels")
-    act = materialize(with_active_terms(sfs, levels, model_keys, factors), "ols_active")
-
-    # 3. normal equations per model from pattern totals
-    pat = act.groupBy(*model_keys, *factors).agg(
-        F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"),
-        F.first("_active").alias("_active"), F.first("_p").alias("_p"),
-    )
-    kf = _key_fields(sfs, model_keys)
-    solve_schema = T.StructType(kf + _SOLVE_COLS)
-    solved = materialize(pat.groupBy(*model_keys).applyInPandas(_solve_beta(model_keys), solve_schema), "ols_solved")
 
-    # 4. cluster scores and their outer products
-    coefs = solved.where(F.col("kind") == "coef").groupBy(*model_keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("i").alias("i"), F.col("value").alias("v")))).alias("_b")
+    # 2. levels and normal equations per model from pattern totals
+    pat = sfs.groupBy(*model_keys, *factors).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"))
+    kf = _key_fields(sfs, model_keys)
+    solved = pat.groupBy(*model_keys).applyInPandas(_solve(model_keys, factors), _schema(kf, _SOLVED, factors))
+    solved = materialize(solved, "ols_solved")
+    level = solved.where(F.col("kind") == "level")
+    factor = F.element_at(F.array(*[F.lit(f) for f in factors]), F.col("i") + 1)
+    levels = level.select(
+        *model_keys, F.col("i").alias("factor_pos"), factor.alias("factor"), F.col("name").alias("level"), F.col("j").alias("level_no"),
+        (F.col("j") == 0).alias("is_reference"),
+        F.when(F.col("j") > 0, F.concat(F.lit("C("), factor, F.lit(")[T."), F.col("name"), F.lit("]"))).alias("term"),
+        F.when(F.col("j") > 0, F.col("value").cast("int")).alias("term_idx"),
     )
-    beta_at = lambda t: F.element_at(F.col("_b"), t + 1).getField("v")
-    res = act.join(coefs, model_keys).withColumn(
-        "_fit", F.aggregate(F.transform("_active", beta_at), F.lit(0.0), lambda a, b: a + b)
-    ).withColumn("_r", F.col("sy") - F.col("n") * F.col("_fit"))
+
+    # 3. cluster scores and their outer products
+    patterns = small_or_shuffled(materialize(solved.where(F.col("kind") == "pattern").select(*model_keys, *factors, "_p", "_active", F.col("value").alias("_fit")), "ols_patterns"))
+    res = sfs.join(patterns, [*model_keys, *factors]).withColumn("_r", F.col("sy") - F.col("n") * F.col("_fit"))
     score = (
         res.select(*model_keys, cluster, "_p", "_r", F.explode("_active").alias("t"))
         .groupBy(*model_keys, cluster, "_p", "t")
@@ -252,29 +250,15 @@ def fit(
         *model_keys, F.lit("stat").alias("kind"), F.lit(-1).alias("i"), F.lit(-1).alias("j"),
         F.lit("n_clusters").alias("name"), "value",
     )
-    parts = solved.unionByName(meat).unionByName(n_clusters)
-
-    # 5. covariance, p-values, intervals per model
-    fin_schema = T.StructType(
-        kf
-        + [
-            T.StructField("kind", T.StringType()), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
-            T.StructField("coef", T.DoubleType()), T.StructField("se", T.DoubleType()), T.StructField("z", T.DoubleType()),
-            T.StructField("p", T.DoubleType()), T.StructField("ci_low", T.DoubleType()), T.StructField("ci_high", T.DoubleType()),
-        ]
-    )
-    fin = parts.groupBy(*model_keys).applyInPandas(_finish(model_keys), fin_schema)
-    names = levels.where(F.col("term_idx").isNotNull()).select(*model_keys, F.col("term_idx").alias("i"), "term").unionByName(
-        levels.select(*model_keys).distinct().select(*model_keys, F.lit(0).alias("i"), F.lit(INTERCEPT).alias("term"))
-    )
-    terms = fin.where(F.col("kind") == "coef").join(names, [*model_keys, "i"]).select(
-        *keys, F.col("i").alias("term_idx"), "term", "coef", "se", "z", "p", "ci_low", "ci_high"
-    )
-    ni = names.select(*model_keys, F.col("i"), F.col("term").alias("term_i"))
-    nj = names.select(*model_keys, F.col("i").alias("j"), F.col("term").alias("term_j"))
-    cov = (
-        fin.where(F.col("kind") == "cov").join(ni, [*model_keys, "i"]).join(nj, [*model_keys, "j"])
-        .select(*keys, "term_i", "term_j", F.col("coef").alias("value"))
+    own = solved.where(F.col("kind") != "pattern").select(*model_keys, "kind", "i", "j", "name", "value")
+    parts = own.unionByName(meat).unionByName(n_clusters)
+
+    # 4. covariance, p-values, intervals per model
+    fin = parts.groupBy(*model_keys).applyInPandas(_finish(model_keys, factors), _schema(kf, _FINISHED))
+    fin = materialize(fin, "ols_fit")
+    terms = fin.where(F.col("kind") == "coef").select(
+        *keys, F.col("i").alias("term_idx"), F.col("term_i").alias("term"), "coef", "se", "z", "p", "ci_low", "ci_high"
     )
+    cov = fin.where(F.col("kind") == "cov").select(*keys, "term_i", "term_j", F.col("coef").alias("value"))
     stats = parts.where(F.col("kind") == "stat").select(*keys, F.col("name").alias("statistic"), "value")
     return {"terms": terms, "cov": cov, "fit_stats": stats, "levels": levels.drop("_model"), "suffstats": sfs.drop("_model")}

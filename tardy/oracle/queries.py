@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from .ctes import submissions_sql, with_ctes
 
 DIGITS = 8
@@ -35,6 +37,7 @@ sql("course_meta", "SELECT * FROM w_course_meta")
 sql("eligible_courses", "SELECT * FROM w_eligible")
 sql("top_courses", "SELECT * FROM w_course_enrollments ORDER BY enrollments DESC, course_canvas_id ASC")
 sql("submissions", "SELECT * FROM w_submissions", SUB_DOUBLES)
+sql("submissions_due_range", "SELECT * FROM w_submissions WHERE due_date BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-06-30 23:59:59'", SUB_DOUBLES)
 sql("submissions_sis_only", submissions_sql(sis_only=True), SUB_DOUBLES)
 sql("submissions_quiz_only", submissions_sql(quiz_only=True), SUB_DOUBLES)
 sql("sql_query", """
@@ -142,14 +145,19 @@ SELECT user_id, avg(assignment_percentile_ranks) AS mean_pct_rank FROM c_ranked
 WHERE user_id IS NOT NULL GROUP BY user_id
 """
 sql("user_mean_rank", user_mean_sql, ("mean_pct_rank",))
+# The seeded draw out of n users, for n = 1, 2, ... (more users than that are
+# drawn by the Spark query alone).
+PLACES = [int(np.random.RandomState(1).permutation(n)[0]) for n in range(1, 1025)]
 bands_sql = f"""
-SELECT band, count(*) AS n_users, arg_min(user_id, md5('1:' || CAST(user_id AS VARCHAR))) AS user_id,
-       arg_min(mean_pct_rank, md5('1:' || CAST(user_id AS VARCHAR))) AS mean_pct_rank
-FROM (SELECT *, CASE WHEN mean_pct_rank < 0.25 THEN 'low'
-                     WHEN mean_pct_rank > 0.4 AND mean_pct_rank < 0.6 THEN 'mid'
-                     WHEN mean_pct_rank > 0.75 THEN 'high' END AS band
-      FROM ({user_mean_sql}) u) b
-WHERE band IS NOT NULL GROUP BY band
+SELECT band, n_users, user_id, mean_pct_rank
+FROM (SELECT *, count(*) OVER (PARTITION BY band) AS n_users,
+             row_number() OVER (PARTITION BY band ORDER BY user_id) - 1 AS place
+      FROM (SELECT *, CASE WHEN mean_pct_rank < 0.25 THEN 'low'
+                           WHEN mean_pct_rank > 0.4 AND mean_pct_rank < 0.6 THEN 'mid'
+                           WHEN mean_pct_rank > 0.75 THEN 'high' END AS band
+            FROM ({user_mean_sql}) u) b
+      WHERE band IS NOT NULL) d
+WHERE place = ({PLACES}::BIGINT[])[n_users]
 """
 sql("student_bands", bands_sql, ("mean_pct_rank",))
 sql("student_time_series", f"""

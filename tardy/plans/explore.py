@@ -4,13 +4,14 @@ time series and course size checks."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BAND_HIGH, BAND_LOW, BAND_MID, KDE_LEVELS, MAIN_ETHNICITIES, RESPONSE, SAMPLE_SEED
-from ..functions.scalars import pick_key
 from ..operators.density import auto_histogram, box_outliers, box_stats, kde_grid
 from ..operators.ranking import group_quantiles, micros, value_positions
+from ..sources.tables import materialize
 
 FS_PCT = "final_score_percentile_ranks"
 DIMENSIONS = ("gender", "first_gen_status", "ethnicity")
@@ -75,15 +76,27 @@ def _band(m) -> F.Column:
     )
 
 
+def seeded_place(n: int, seed: int = SAMPLE_SEED) -> int:
+    """The place that numpy's seeded generator draws out of ``n`` without
+    replacement, as pandas' ``sample(n=1, random_state=seed)`` does: the first of a
+    permutation of 0..n-1 (eight bytes a user of a band, for a moment)."""
+    return int(np.random.RandomState(seed).permutation(n)[0])
+
+
 def student_bands(ranked: DataFrame, seed: int = SAMPLE_SEED) -> DataFrame:
     """Per band (low < .25, .4 < mid < .6, high > .75 of the user's mean rank):
-    number of users and one picked user -- the smallest md5('seed:user_id'),
-    an engine-independent deterministic choice."""
+    number of users and the user whom the study's seeded sample draws: the one
+    at the drawn place in the order of user ids, found by range positions."""
     u = user_mean_rank(ranked).withColumn("band", _band(F.col("mean_pct_rank"))).where(F.col("band").isNotNull())
-    pick = F.struct(pick_key(seed, "user_id").alias("k"), F.col("user_id").alias("u"), F.col("mean_pct_rank").alias("m"))
-    return u.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n_users"), F.min(pick).alias("_p")
-    ).select("band", "n_users", F.col("_p.u").alias("user_id"), F.col("_p.m").alias("mean_pct_rank"))
+    users = materialize(u, "band_users")
+    sizes = users.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()  # three bands
+    place = F.lit(None).cast("long")
+    for r in sizes:
+        place = F.when(F.col("band") == r["band"], seeded_place(r["n"], seed)).otherwise(place)
+    drawn = value_positions(users, ["band"], "user_id").where(F.col("_below") == place)
+    return users.join(F.broadcast(drawn.select("band", "user_id", F.col("_total").alias("n_users"))), ["band", "user_id"]).select(
+        "band", "n_users", "user_id", "mean_pct_rank"
+    )
 
 
 def student_time_series(ranked: DataFrame, seed: int = SAMPLE_SEED) -> DataFrame:

@@ -216,7 +216,7 @@ def grid_suffstats(frames: dict) -> DataFrame:
 
 
 def grid_fit(frames: dict) -> dict[str, DataFrame]:
-    return ols.fit(None, keys=CFG, sfs=grid_suffstats(frames))
+    return ols.fit(None, keys=CFG, sfs=materialize(grid_suffstats(frames), "grid_suffstats"))
 
 
 def wide(fit: dict[str, DataFrame], value: str) -> DataFrame:

@@ -7,13 +7,16 @@ warehouse) so its work grows with them. Double columns are rounded to
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import CleanConfig
+from ..sources import store
 from ..sources.fixtures import forget_warehouse, source_version, warehouse_tables
 from ..sources.tables import new_scratch, remove_all_scratch, write_scratch
 from . import clean as C
@@ -66,13 +69,29 @@ def forget_stages(spark: SparkSession) -> None:
     for known in (_STAGES, _EXPORTS, _FRAMES):
         for key in [k for k in known if k[0] == app]:
             del known[key]
+    for key in [k for k in _TABLES if k[0] == app]:
+        store.drop_table(spark, _TABLES.pop(key))
     forget_warehouse(spark)
     remove_all_scratch(spark)
 
 
+_TABLES: dict[tuple, str] = {}
+
+
+def submission_table(spark, sf) -> str:
+    """The name of the stored submission table of a data folder, replaced once per
+    source version in a session; stored by due date, as the study stores it."""
+    key = (spark.sparkContext.applicationId, source_version(spark, sf))
+    if key not in _TABLES:
+        name = f"submissions_{hashlib.sha256(key[1][0].encode()).hexdigest()[:12]}"
+        store.replace_table(W.submissions(wh(spark, sf)), name, ("due_date", "submission_id"))
+        _TABLES[key] = name
+    return _TABLES[key]
+
+
 def subs(spark, sf):
     """The submission table, written once (the study's CREATE TABLE AS)."""
-    return stage(spark, sf, "submissions", lambda: W.submissions(wh(spark, sf)))
+    return store.read_table(spark, submission_table(spark, sf))
 
 
 def analysis(spark, sf):
@@ -137,6 +156,13 @@ def q_submissions(spark, sf):
     return subs(spark, sf)
 
 
+@query("submissions_due_range")
+def q_submissions_due_range(spark, sf):
+    """Half a year of due dates: only the files of the stored table that hold it."""
+    first, last = datetime(1996, 1, 1), datetime(1996, 6, 30, 23, 59, 59)
+    return store.read_range(spark, submission_table(spark, sf), "due_date", first, last)
+
+
 @query("submissions_sis_only")
 def q_submissions_sis_only(spark, sf):
     return W.submissions(wh(spark, sf), sis_only=True)

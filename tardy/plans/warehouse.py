@@ -147,22 +147,23 @@ def course_meta(wh: Warehouse) -> DataFrame:
 
 
 def eligible_courses(wh: Warehouse) -> DataFrame:
-    """Courses big enough for the study (all three counts present, strict >)."""
+    """Courses big enough for the study: every count above its limit."""
     m = course_meta(wh)
-    return m.where(
-        F.col("submissions").isNotNull()
-        & F.col("enrollments").isNotNull()
-        & F.col("assignments").isNotNull()
-        & (F.col("assignments") > MIN_ASSIGNMENTS)
-        & (F.col("enrollments") > MIN_ENROLLMENTS)
-        & (F.col("submissions") > MIN_SUBMISSIONS)
-    ).select("course_canvas_id")
+    least = {"enrollments": MIN_ENROLLMENTS, "submissions": MIN_SUBMISSIONS, "assignments": MIN_ASSIGNMENTS}
+    for count, limit in least.items():  # a missing count is not above its limit
+        m = m.where(F.col(count) > limit)
+    return m.select("course_canvas_id")
 
 
 def submissions(wh: Warehouse, sis_only: bool = False, quiz_only: bool = False) -> DataFrame:
     """The submission-level table: one distinct wide row per current
     submission of an eligible course by a student with demographics.
 
+    Rows are made distinct before the joins, not after: each side keeps its key
+    and only columns of the result, so that joins of distinct sides are distinct.
+    The two large ones are made so under the partitioning by submission id
+    that their join needs anyway; the 23-column rows are never shuffled for it.
+
     ``sis_only`` keeps courses with a SIS id, ``quiz_only`` keeps quiz
     submissions (both optional predicates of the study, off by default).
     """
@@ -177,8 +178,8 @@ def submissions(wh: Warehouse, sis_only: bool = False, quiz_only: bool = False)
         F.col("grade").alias("sd_grade"),
         F.col("attempt").alias("attempts"),
         "submission_type",
-    )
-    sf = wh.submission_fact.select(F.col("submission_id").alias("sf_id"), "score", "published_score")
+    ).repartition("submission_id").distinct()
+    sf = wh.submission_fact.select(F.col("submission_id").alias("sf_id"), "score", "published_score").repartition("sf_id").distinct()
     # `ad.course_id IN (eligible)` turns the assignment join inner and keeps
     # only assignments of eligible courses (semi join on the small side).
     ad = wh.assignment_dim.join(
@@ -189,21 +190,24 @@ def submissions(wh: Warehouse, sis_only: bool = False, quiz_only: bool = False)
         "title",
         F.col("due_at").alias("due_date"),
         "points_possible",
-    )
+    ).distinct()
     cd = wh.course_dim.select(F.col("id").alias("course_id"), F.col("name").alias("course_name"), "sis_source_id")
     if sis_only:
         cd = cd.where(F.col("sis_source_id").isNotNull())
+    cd = cd.drop("sis_source_id").distinct()
     ve = valid_enrollment(wh).select(
         F.col("id"), F.col("user_id").alias("ve_user_id"), F.col("course_id").alias("ve_course_id"), "type", "workflow_state"
     )
     csf = wh.course_score_fact.select("enrollment_id", "current_score", "final_score")
     enr = ve.join(csf, F.col("enrollment_id") == F.col("id"), "left").drop("enrollment_id")
+    enr = enr.repartition("ve_user_id", "ve_course_id").distinct()
+    demographics = _user_demographics(wh).drop("anon_netid").distinct()
 
     j = (
         sd.join(sf, F.col("sf_id") == F.col("submission_id"))
         .join(ad, F.col("assignment_id") == F.col("sd_assignment_id"))
         .join(cd, F.col("course_id") == F.col("ad_course_id"), "inner" if sis_only else "left")
-        .join(_user_demographics(wh), F.col("u_id") == F.col("sd_user_id"))
+        .join(demographics, F.col("u_id") == F.col("sd_user_id"))
         .join(
             enr,
             (F.col("ve_user_id") == F.col("sd_user_id")) & (F.col("ve_course_id") == F.col("course_id")),
@@ -234,7 +238,7 @@ def submissions(wh: Warehouse, sis_only: bool = False, quiz_only: bool = False)
         "id",
         "type",
         "workflow_state",
-    ).distinct()
+    )
 
 
 def ordered_by_count(courses: DataFrame, count: str) -> DataFrame:

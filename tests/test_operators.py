@@ -121,3 +121,21 @@ def test_ols_per_key_models(spark):
     for m, part in ((1, a), (2, b)):
         _, coef, _ = _dense_cluster_ols(part, "procrastination_mean_rank", ["gender", "is_a_urm", "first_gen_status", "ethnicity"], "course_id")
         np.testing.assert_allclose(res[res.m == m].sort_values("term_idx").coef.to_numpy(), coef, atol=1e-9)
+
+
+def test_seeded_student_is_the_one_pandas_draws(spark):
+    import random
+
+    import pandas as pd
+
+    from tardy.plans.explore import student_bands
+
+    rnd = random.Random(5)
+    rows = [(u, rnd.random() * 0.3 + 0.35 * (u % 3)) for u in rnd.sample(range(1000, 9000), 150) for _ in range(3)]
+    rows += [(None, 0.1), (7, None)]
+    got = {r.band: (r.user_id, r.n_users) for r in student_bands(spark.createDataFrame(rows, "user_id long, assignment_percentile_ranks double").repartition(3)).collect()}
+    mean = pd.DataFrame(rows, columns=["u", "p"]).dropna(subset=["u"]).groupby("u")["p"].mean()
+    bands = {"low": mean[mean < 0.25], "mid": mean[(mean > 0.4) & (mean < 0.6)], "high": mean[mean > 0.75]}
+    assert got == {b: (int(m.sample(n=1, random_state=1).index[0]), len(m)) for b, m in bands.items()}
+    one = student_bands(spark.createDataFrame([(3, 0.1)], "user_id long, assignment_percentile_ranks double")).collect()
+    assert [(r.band, r.user_id) for r in one] == [("low", 3)]

@@ -69,3 +69,23 @@ def test_scan_prunes_columns(spark):
     plan = initial_plan(submission_grain(spark, SF))
     # lineitem has 11 columns; only five are read
     assert "l_extendedprice" not in plan and "l_returnflag" not in plan
+
+
+def test_wide_rows_are_not_shuffled_to_be_distinct(spark):
+    """The joined rows are distinct already; no aggregate stands above the joins."""
+    plan = initial_plan(W.submissions(R.wh(spark, SF)))
+    top = plan.split("Join", 1)[0]
+    assert "HashAggregate" not in top and "Exchange" not in top
+    # submission_dim and its fact are shuffled by the submission's id only
+    assert not re.search(r"hashpartitioning\(submission_id#\d+L, [a-z]", plan)
+
+
+def test_submissions_of_repeated_inputs_are_distinct(spark):
+    """Every warehouse table twice: the same rows, once each."""
+    from dataclasses import fields
+
+    wh = R.wh(spark, SF)
+    twice = type(wh)(**{f.name: getattr(wh, f.name).unionByName(getattr(wh, f.name)) for f in fields(wh)})
+    once, again = W.submissions(wh), W.submissions(twice)
+    assert again.count() == once.count() == again.distinct().count()
+    assert once.exceptAll(again).isEmpty()
