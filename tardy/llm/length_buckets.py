@@ -5,18 +5,18 @@ programming chooses the bucket boundaries that minimise the padding when each
 document is padded to its bucket's boundary; inside each bucket, batches are
 filled up to a token budget.
 
-Lengths up to ``exact`` are histogram cells of their own; beyond, cells widen
-with the length (64 to each doubling, 1.6 % at most), so the histogram has a
-bounded number of cells at any corpus size. Padding is computed from exact sums
-in each cell; boundaries are the cells' longest real lengths.
+Every distinct length is a histogram cell of its own, so that the boundaries are
+optimal among all. Best cuts move up with the lengths (the padding is a Monge
+cost), which lets each of the programme's rounds search n log n pairs.
 
-Defined results: a null or empty text has length 0 and lies in the first
-bucket. A bucket whose boundary exceeds the budget holds one document a batch.
+Defined results: a null or empty text has length 1 (its end token) and lies in
+the first bucket. A bucket whose boundary exceeds the budget holds one document a batch.
 Repeated rows and equal lengths are placed one by one; rows without an id come
 first in their shard. An empty table gives an empty result.
 
-Scale: the histogram is a partial aggregate of a bounded number of cells; only
-it reaches the driver. Rows are numbered inside shards by id, whose number grows
+Scale: the histogram is a partial aggregate; only it reaches the driver, two
+numbers for each distinct length, at most as many as the longest text has
+words. Rows are numbered inside shards by id (rows without one are spread), whose number grows
 with the square root of the rows, and shard offsets make the numbers run on
 through a bucket, so no bucket is gathered in one task and each bucket has at
 most one batch that isn't full.
@@ -34,8 +34,6 @@ from pyspark.sql import functions as F
 from ..sources.tables import materialize
 from .common import WS, small_side, whole
 
-EXACT = 1024
-
 
 @dataclass(frozen=True)
 class Packing:
@@ -49,10 +47,29 @@ def word_count(text: str = "text") -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, WS + "+"))).cast("bigint") + 1
 
 
-def cell_end(length: Column) -> Column:
-    """Upper end of the histogram cell of a length."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(EXACT)))) - 6).cast("bigint")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step).cast("bigint") * step)
+def _first_best(prev: np.ndarray, end: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each number of cells j > 0: the least prev[i] + end[j-1] * (below[j] -
+    below[i]) over i < j, and its first i. The first best i never falls as j grows,
+    so the middle of a range of j halves the search of both its sides."""
+    n = len(end)
+    now, at = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    low, high = np.array([1]), np.array([n])
+    first, last = np.array([0]), np.array([n - 1])
+    while len(low):
+        mid = (low + high) // 2
+        size = np.minimum(last, mid - 1) - first + 1
+        start = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(mid)), size)
+        i = np.arange(size.sum()) - start[of] + first[of]
+        total = prev[i] + end[mid[of] - 1] * (below[mid[of]] - below[i])
+        least = np.minimum.reduceat(total, start)
+        hit = np.flatnonzero(total == least[of])
+        best = i[hit[np.unique(of[hit], return_index=True)[1]]]
+        now[mid], at[mid] = least, best
+        parts = [np.concatenate(x) for x in ((low, mid + 1), (mid - 1, high), (first, best), (best, last))]
+        open_ = parts[0] <= parts[1]
+        low, high, first, last = (x[open_] for x in parts)
+    return now, at
 
 
 def best_boundaries(ends: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -62,17 +79,12 @@ def best_boundaries(ends: list[int], counts: list[int], buckets: int) -> list[in
     n = len(ends)
     if not n:
         return []
-    below = np.concatenate([[0], np.cumsum(np.asarray(counts, dtype=np.float64))])
-    end = np.asarray(ends, dtype=np.float64)
-    cost = [np.concatenate([[0.0], end * below[1:]])]  # one bucket for the first j cells
+    below = np.concatenate([[0], np.cumsum(np.asarray(counts, dtype=np.int64))])
+    end = np.asarray(ends, dtype=np.int64)
+    cost = [np.concatenate([[0], end * below[1:]])]  # one bucket for the first j cells
     cut = [np.zeros(n + 1, dtype=np.int64)]
     for _ in range(1, min(buckets, n)):
-        now, at = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
-        now[0] = 0.0
-        for j in range(1, n + 1):
-            total = cost[-1][:j] + end[j - 1] * (below[j] - below[:j])
-            at[j] = int(np.argmin(total))
-            now[j] = total[at[j]]
+        now, at = _first_best(cost[-1], end, below)
         cost.append(now)
         cut.append(at)
     level = int(np.argmin([c[n] for c in cost]))
@@ -85,9 +97,8 @@ def best_boundaries(ends: list[int], counts: list[int], buckets: int) -> list[in
 
 
 def boundaries(lengths: DataFrame, packing: Packing = Packing()) -> list[int]:
-    """From ``_n`` of all rows; the histogram has a bounded number of cells."""
-    cells = lengths.groupBy(cell_end(F.col("_n")).alias("end")).agg(F.max("_n").alias("longest"), F.count(F.lit(1)).alias("docs")).collect()
-    cells = sorted((r["longest"], r["docs"]) for r in cells)
+    """From ``_n`` of all rows: a row for each distinct length is collected."""
+    cells = sorted((r["_n"], r["docs"]) for r in lengths.groupBy("_n").agg(F.count(F.lit(1)).alias("docs")).collect())
     return best_boundaries([e for e, _ in cells], [d for _, d in cells], packing.buckets)
 
 
@@ -96,7 +107,7 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", packing: P
     length), ``batch`` (from 0 inside the bucket), ``slot`` (from 0 inside the
     batch), ``padding``. The text is read once; the short rows are written."""
     n = word_count(text) if length is None else length
-    rows = materialize(docs.select(F.col(id_col).alias("_id"), n.cast("bigint").alias("_n")), "lengths")
+    rows = materialize(docs.select(F.col(id_col).alias("_id"), n.cast("bigint").alias("_n"), F.monotonically_increasing_id().alias("_row")), "lengths")
     total = rows.count()
     shards = 4 * max(1, math.isqrt(total))
     ends = boundaries(rows, packing)
@@ -104,7 +115,7 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", packing: P
         ends = [0]
     limits = F.array(*[F.lit(int(e)) for e in ends])
     bucket = F.size(F.filter(limits, lambda e: e < F.col("_n")))
-    spread = F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int")
+    spread = F.pmod(F.when(F.col("_id").isNull(), F.xxhash64("_row")).otherwise(F.xxhash64("_id")), F.lit(shards)).cast("int")
     placed = rows.select("_id", "_n", bucket.alias("bucket"), spread.alias("_shard"))
     within = Window.partitionBy("_shard", "bucket").orderBy("_id", "_n")
     numbered = placed.repartition("_shard").withColumn("_k", F.row_number().over(within).cast("bigint") - 1)

@@ -127,7 +127,7 @@ def test_pii_other_patterns_and_occurrences(spark):
 
 def test_boundaries_are_real_lengths(spark):
     lengths = spark.createDataFrame([(n,) for n in (5, 1030, 2049, 2050, 9001)], "_n bigint")
-    assert length_buckets.boundaries(lengths) == [5, 1030, 2050, 9001]
+    assert length_buckets.boundaries(lengths) == [5, 1030, 2049, 2050, 9001]  # five lengths, no padding
 
 
 def test_redact_edge(edge, nothing):
@@ -207,3 +207,27 @@ def test_packing(edge, nothing):
         assert sorted(r.slot for r in rows) == list(range(len(rows)))
         assert len(rows) == 1 or len(rows) * rows[0].boundary <= 40
     assert length_buckets.pack(nothing).count() == 0
+
+
+def test_boundaries_are_optimal_over_all_lengths():
+    """Against the plain programme over every pair of cells."""
+    import random
+
+    rnd = random.Random(7)
+    for n in (1, 2, 3, 17, 120):
+        ends = sorted(rnd.sample(range(1, 30_000), n))
+        counts = [rnd.choice([1, 1, 2, 50]) for _ in ends]
+        below = [sum(counts[:i]) for i in range(n + 1)]
+        for k in (1, 2, 5, 16):
+            best = [0] + [ends[j - 1] * below[j] for j in range(1, n + 1)]
+            for _ in range(k - 1):
+                best = [0] + [min(best[i] + ends[j - 1] * (below[j] - below[i]) for i in range(j)) for j in range(1, n + 1)]
+            got = length_buckets.best_boundaries(ends, counts, k)
+            assert len(got) <= k and got[-1] == ends[-1] and got == sorted(set(got))
+            assert sum(c * min(b for b in got if b >= e) for e, c in zip(ends, counts)) == best[n]
+
+
+def test_rows_without_id_are_spread(spark):
+    docs = spark.range(400).select(F.lit(None).cast("bigint").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"))
+    out = length_buckets.pack(docs).collect()
+    assert len(out) == 400 and len({(r.bucket, r.batch, r.slot) for r in out}) == 400 and {r.padding for r in out} == {0}
