@@ -89,6 +89,7 @@ def copy_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", has
     # Rows with the same id and text: counted, then laid out again, one kept.
     rows = found.groupBy("recipe", "_id").agg(F.count(F.lit(1)).alias("_n"), F.first("text_sha256").alias("text_sha256"))
     groups = found.groupBy("recipe").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = small_side(materialize(groups, "copy_group_sizes"))  # written, so that a hot recipe's rows can be split
     out = rows.join(groups, "recipe").select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_i"))
     return out.select(
         F.col("_id").alias(id_col),
