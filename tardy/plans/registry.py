@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..config import CleanConfig
 from ..sources import store
 from ..sources.fixtures import forget_warehouse, source_version, warehouse_tables
-from ..sources.tables import new_scratch, remove_all_scratch, write_scratch
+from ..sources.tables import remove_all_scratch, scratch_path, write_scratch
 from . import clean as C
 from . import scores as S
 from . import study
@@ -496,7 +496,7 @@ def exported(spark, sf):
     key = (spark.sparkContext.applicationId, source_version(spark, sf))
     if key not in _EXPORTS:
         s = subs(spark, sf)
-        path = new_scratch(s, "submissions_csv")
+        path = scratch_path(s, "submissions_csv")
         csv_io.export_csv(s, path)
         _EXPORTS[key] = path
     return _EXPORTS[key]
@@ -513,7 +513,7 @@ def q_csv_scan(spark, sf):
 def q_export_csv(spark, sf):
     """Round trip of timestamps with microseconds through a CSV export."""
     W.query(wh(spark, sf), "SELECT 1")  # registers the views
-    path = new_scratch(wh(spark, sf).course_dim, "query_csv")
+    path = scratch_path(wh(spark, sf).course_dim, "query_csv")
     csv_io.query_to_csv(
         spark, "SELECT id, timestampadd(MICROSECOND, cast(id % 1000000 AS int), submitted_at) AS submitted_at FROM submission_dim", path
     )

@@ -221,13 +221,13 @@ def warehouse_tables(spark: SparkSession, sf_dir: str) -> Warehouse:
     key = (spark.sparkContext.applicationId, source_version(spark, sf_dir))
     path = _WRITTEN.get(key)
     if path is None:
-        from .tables import materialize, new_scratch
+        from .tables import materialize, scratch_path
 
         # the lineitem x orders join and its aggregate run once; all nine
         # tables are derived from this written grain
         grain = materialize(submission_grain(spark, sf_dir), "fixture_grain")
         wh = build_warehouse(spark, sf_dir, grain)
-        path = new_scratch(wh.course_dim, "warehouse")
+        path = scratch_path(wh.course_dim, "warehouse")
         write_warehouse(wh, path)
         _WRITTEN[key] = path
     return read_warehouse(spark, path)

@@ -16,25 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
-#: Folders written by this process and not yet removed.
+#: Folders this process has named and not yet removed.
 _WRITTEN: set[str] = set()
 
 
 def scratch_path(df: DataFrame, name: str) -> str:
+    """A new folder under the checkpoint folder to write to; it is tracked."""
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    return f"{base}/tables/{name}-{uuid.uuid4().hex}"
-
-
-def new_scratch(df: DataFrame, name: str) -> str:
-    """A new folder to write to, tracked like those of ``write_scratch``."""
-    path = scratch_path(df, name)
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     _WRITTEN.add(path)
     return path
 
 
 def write_scratch(df: DataFrame, name: str) -> str:
     """Write ``df`` as Parquet under the checkpoint folder; returns the folder."""
-    path = new_scratch(df, name)
+    path = scratch_path(df, name)
     df.write.mode("overwrite").parquet(path)
     return path
 
@@ -49,7 +45,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def remove_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a folder that ``write_scratch`` wrote and nothing reads any more."""
+    """Delete a tracked folder that nothing reads any more."""
     if path in _WRITTEN:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
