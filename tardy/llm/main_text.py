@@ -9,7 +9,8 @@ The weights come from labelled pages: those whose markup names one ``article``
 outside the labelled regions than inside (in powers of two). The weight of a word
 lies midway (geometric mean) between the least and the largest of ``WORD_WEIGHTS``
 that find the labelled words of a sample best. Tags are counted over all labelled
-pages; the word weight is fitted on at most ``SAMPLE`` of them, a parameter.
+pages; the word weight is fitted on those with the ``SAMPLE`` smallest hashes (a
+parameter; copies of a page count each).
 
 Elements that are never part of an article (menus, adverts, forms, scripts, ...;
 the lists below) count as one plain tag each, of cost one: their words score
@@ -291,7 +292,10 @@ def fit_weights(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> t
     counts = known.mapInArrow(_count_tags("_html"), "tag string, inside bigint, outside bigint")
     rows = counts.groupBy("tag").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()  # a row a tag name
     tags = {r["tag"]: -1.0 - max(0.0, math.log2((r["o"] + 1) / (r["i"] + 1))) for r in rows}
-    few = known.orderBy(F.xxhash64("_html")).limit(sample)
+    # Only hashes are put in order; the pages stay where they are.
+    hashes = known.select(F.xxhash64("_html").alias("h"))
+    limit = hashes.distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    few = known.where(F.xxhash64("_html") <= F.lit(limit))
     tried = few.mapInArrow(_try_weights("_html", tags), "weight double, found bigint, missed bigint, others bigint")
     scores = {
         r["weight"]: 2.0 * r["f"] / max(2 * r["f"] + r["m"] + r["o"], 1)
