@@ -118,4 +118,41 @@ def _lloyd(dim: int = 64, scale: int = 256, k: int = 40, rounds: int = 5, seed:
 
 OP12 = _lloyd()
 
-SQL = {"op11_max_subsequence": OP11, "op12_drift_clusters": OP12, "op5_bloom_cascade": OP5, "op7_chat_parts": OP7, "op9_chunk_recipes": OP9, "op10_host_rules": OP10}
+#: The crc32 is computed byte by byte from its table; near words share what is
+#: left when one letter is taken out of both, or out of the longer one.
+OP13 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS i, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]{7,}')) AS w FROM documents
+), each_run AS (SELECT i, w, count(*) AS n FROM runs GROUP BY i, w
+), bytes AS (
+  SELECT w, n, flatten(list_transform(list_transform(string_split(i || ':' || w, ''), lambda c: ord(c)),
+    lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + (c >> 6), 128 + (c & 63)] END)) AS b FROM each_run
+), hashed AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(b, lambda x: CAST(x AS BIGINT))), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS h
+  FROM bytes, crc
+), made AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, n FROM hashed
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), holes AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS MATERIALIZED (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT h.word, h.n, w.word, w.n FROM holes h JOIN words w ON w.word = h.rest
+  UNION SELECT w.word, w.n, h.word, h.n FROM holes h JOIN words w ON w.word = h.rest
+), best AS (
+  SELECT word, n, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS k FROM near
+), judged AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN (SELECT * FROM best WHERE k = 1) b ON w.word = b.word
+), chain AS (
+  SELECT word, form AS reached, 1 AS step FROM judged WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, j.form, step + 1 FROM chain c JOIN judged j ON j.word = c.reached WHERE j.form IS NOT NULL
+), ends AS (SELECT word, arg_max(reached, step) AS root FROM chain GROUP BY word)
+SELECT j.word, form, coalesce(root, j.word) AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM judged j LEFT JOIN ends e ON e.word = j.word
+""".replace("\\u00C0-\\u00FF", "\u00C0-\u00FF")
+
+SQL = {"op13_spelling_kd": OP13, "op11_max_subsequence": OP11, "op12_drift_clusters": OP12, "op5_bloom_cascade": OP5, "op7_chat_parts": OP7, "op9_chunk_recipes": OP9, "op10_host_rules": OP10}
