@@ -338,10 +338,12 @@ def pair_possible(sig_a: bytes, n_a: int, sig_b: bytes, n_b: int) -> bool:
 class Tree:
     """Levels of nodes over documents ordered by component and size, leaves
     first: OR of the bitmaps, smallest and largest size, and the most shingles of a set that
-    have no bit of their own (``slack``)."""
+    have no bit of their own (``slack``). ``comps``: the smallest and largest component
+    below each node (all differ if none are given)."""
 
-    def __init__(self, parity: np.ndarray, bitmaps: np.ndarray, sizes: np.ndarray, fanout: int):
+    def __init__(self, parity: np.ndarray, bitmaps: np.ndarray, sizes: np.ndarray, fanout: int, comps: np.ndarray | None = None):
         self.parity = parity
+        self.comps = None if comps is None else [(comps, comps)]
         slack = sizes - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
         self.levels = [(bitmaps, sizes, sizes, slack)]
         self.fanout = fanout
@@ -349,23 +351,36 @@ class Tree:
             b, lo, hi, sl = self.levels[-1]
             at = np.arange(0, len(lo), fanout)
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(sl, at)))
+            if self.comps is not None:
+                least, most = self.comps[-1]
+                self.comps.append((np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
 
     def height(self) -> int:
         return len(self.levels) - 1
 
 
+#: Pairs of nodes that go down together.
+NODE_PAIRS = 8192
+
+
 def dual_traversal(x: Tree, y: Tree, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of leaves (i of x, j of y; i < j if both are the ``same`` tree)
-    that the bounds leave over. Both trees descend together."""
-    level = max(x.height(), y.height())
-    size = lambda t: len(t.levels[min(level, t.height())][1])
-    i, j = (a.ravel() for a in np.meshgrid(np.arange(size(x)), np.arange(size(y)), indexing="ij"))
-    while True:
-        a, b = x.levels[min(level, x.height())], y.levels[min(level, y.height())]
+    that the bounds leave over, without those of one component if the trees know
+    components. Both trees descend together, a bounded number of pairs at a time."""
+    top = max(x.height(), y.height())
+    size = lambda t: len(t.levels[min(top, t.height())][1])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def down(i: np.ndarray, j: np.ndarray, level: int) -> None:
+        la, lb = min(level, x.height()), min(level, y.height())
+        a, b = x.levels[la], y.levels[lb]
         if same:
             ahead = i < j if level == 0 else i <= j
             i, j = i[ahead], j[ahead]
         near = (4 * a[2][i] >= 3 * b[1][j]) & (4 * b[2][j] >= 3 * a[1][i])
+        if x.comps is not None and y.comps is not None:
+            (a_least, a_most), (b_least, b_most) = x.comps[la], y.comps[lb]
+            near &= (np.minimum(a_least[i], b_least[j]) != np.maximum(a_most[i], b_most[j]))
         i, j = i[near], j[near]
         keep = np.zeros(len(i), bool)
         for s in range(0, len(i), 8192):  # bounds the bitmaps held at once
@@ -376,9 +391,14 @@ def dual_traversal(x: Tree, y: Tree, same: bool) -> tuple[np.ndarray, np.ndarray
         if level == 0:
             differ = [np.bitwise_count(x.parity[i[s : s + 8192]] ^ y.parity[j[s : s + 8192]]).sum(1, dtype=np.int64) for s in range(0, len(i), 8192)]
             near = 7 * np.concatenate([*differ, np.zeros(0, np.int64)]) <= a[1][i] + b[1][j]
-            return i[near], j[near]
-        level -= 1
-        i, j = _children(i, j, x, y, level)
+            left.append(i[near])
+            right.append(j[near])
+            return
+        for s in range(0, len(i), NODE_PAIRS):
+            down(*_children(i[s : s + NODE_PAIRS], j[s : s + NODE_PAIRS], x, y, level - 1), level - 1)
+
+    down(*(a.ravel() for a in np.meshgrid(np.arange(size(x)), np.arange(size(y)), indexing="ij")), top)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _children(i: np.ndarray, j: np.ndarray, x: Tree, y: Tree, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -409,7 +429,7 @@ def _tree_pairs(how: Join):
         def tree(rows: np.ndarray, w: int) -> tuple[Tree, np.ndarray]:
             rows = rows[np.lexsort((n[rows], comp[rows]))]  # near copies side by side
             maps = [unpack(sig[r], w) for r in rows]
-            return Tree(np.stack([m[0] for m in maps]), np.stack([m[1] for m in maps]), n[rows], how.fanout), rows
+            return Tree(np.stack([m[0] for m in maps]), np.stack([m[1] for m in maps]), n[rows], how.fanout, comp[rows]), rows
 
         def emit(p: np.ndarray, q: np.ndarray) -> None:
             apart = comp[p] != comp[q]
