@@ -36,6 +36,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -171,7 +172,11 @@ class Lattice:
         depth_b = self.b - self.first_node[self.word_of_arc]
         depth_e = self.e - self.first_node[self.word_of_arc]
         self.by_end = _levels(depth_e, self.e)
-        self.by_begin = _levels(depth_b, self.b)
+        self._depth_b = depth_b
+
+    @cached_property
+    def by_begin(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return _levels(self._depth_b, self.b)
 
     def weights(self, logp: np.ndarray) -> np.ndarray:
         """Of the arcs: pieces, then characters as products of bytes."""
@@ -212,6 +217,8 @@ class Lattice:
 def _levels(depth: np.ndarray, node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Arcs by depth, and inside a depth by node: (arcs, starts of the nodes'
     stretches, nodes)."""
+    if len(depth) and depth.max() < 1 << 16:
+        depth = depth.astype(np.uint16)  # sorted by radix
     order = np.lexsort((node, depth))
     cuts = np.flatnonzero(np.diff(depth[order])) + 1
     out = []
